@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from vecmill.llm import license_scan, quality_rules
+from vecmill.llm import license_scan, mixing, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_sharding": sharding.op3_sharding,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_warc": warc.op10_warc,
 }
 SQL = {
     "op1_license_scan": license_scan.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op10_warc": warc.SQL,
 }
