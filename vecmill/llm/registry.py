@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from vecmill.llm import license_scan, mixing, ngram_join, quality_rules, sharding, warc
+from vecmill.llm import license_scan, mixing, ngram_join, pii, quality_rules, rule_ensemble, sharding, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
+    "op5_pii": pii.op5_pii,
+    "op6_rule_ensemble": rule_ensemble.op6_rule_ensemble,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op10_warc": warc.op10_warc,
