@@ -190,7 +190,7 @@ def taken(rows: DataFrame, table: pd.DataFrame, block: int = BLOCK) -> DataFrame
     found = pieces.join(slots(spark, table, block), ["sid", "block"], "left")
     lo = F.greatest(F.col("start"), F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
-    found = found.withColumn("got", F.greatest(F.coalesce(end - lo, F.lit(0)), F.lit(0)))
+    found = found.withColumn("got", F.when(F.col("words").isNull(), 0).otherwise(F.greatest(end - lo, F.lit(0))))
     own = ["doc_id", "source", "size"]
     return found.groupBy("sid", "bucket", "rank", "epoch").agg(*[F.first(c).alias(c) for c in own], F.sum("got").alias("taken"))
 

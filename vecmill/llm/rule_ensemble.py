@@ -141,6 +141,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         z += 0.3 * 4 * step
         found += rules
     kept = list(dict.fromkeys(found))
+    if not kept:
+        return Model(float(np.log(y.mean() / (1 - y.mean()))), ())
     m = np.stack([holds(r, x) for r in kept], axis=1).astype(np.float64)
     return lasso(m, y, kept)
 
