@@ -235,3 +235,10 @@ def test_stream_of_queries(spark, tmp_path):
     got = []
     search_stream(stream, table, 1, lambda df, n: got.extend(df.collect()), str(tmp_path / "ck")).awaitTermination()
     assert {(r.qid, r.vec_id) for r in got} == {(100 + i, i) for i in range(3)}
+
+
+def test_range_experiment_csv(spark, tmp_path):
+    from vecmill.sources.vectors import read_range_experiment
+
+    (tmp_path / "res.csv").write_text("range,visited,threshold_probability,threshold_probability_bound\n0.5,10,0.25,0.125\n")
+    assert tuple(read_range_experiment(spark, str(tmp_path / "res.csv")).first()) == (0.5, 10, 0.25, 0.125)

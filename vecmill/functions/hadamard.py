@@ -16,16 +16,25 @@ def check_length(n: int) -> None:
         raise ValueError(f"the length must be a power of two up to 2^30, not {n}")
 
 
-def butterfly(x: np.ndarray) -> np.ndarray:
-    """Transforms the last axis, in n log n, whole batches at a time."""
+def sign_matrix(n: int) -> np.ndarray:
+    out = np.ones((1, 1))
+    while len(out) < n:
+        out = np.block([[out, out], [out, -out]])
+    return out
+
+
+def butterfly(x: np.ndarray, radix: int = 5) -> np.ndarray:
+    """Transforms the last axis, whole batches at a time: ``radix`` levels of the butterfly are one product with a
+    small sign matrix, so the work is n log n and each pass over the data does several levels."""
     n = x.shape[-1]
     check_length(n)
-    out, h = x.astype(np.float64), 1
-    while h < n:
-        y = out.reshape(*x.shape[:-1], n // (2 * h), 2, h)
-        out = np.stack((y[..., 0, :] + y[..., 1, :], y[..., 0, :] - y[..., 1, :]), axis=-2).reshape(x.shape)
-        h *= 2
-    return out
+    out, h, left = x.astype(np.float64).reshape(-1, n), 1, n.bit_length() - 1
+    while left:
+        m = 1 << min(radix, left)
+        signs = sign_matrix(m)
+        out = out.reshape(-1, m) @ signs if h == 1 else signs @ out.reshape(-1, m, h)
+        h, left = h * m, left - min(radix, left)
+    return out.reshape(x.shape)
 
 
 def hadamard(v: Column, n: int) -> Column:

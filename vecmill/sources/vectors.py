@@ -93,6 +93,12 @@ def ground_truth(df: DataFrame, id_col: str = "qid", neighbors: str = "neighbors
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def read_range_experiment(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file of range-query experiments, with a header."""
+    schema = "range double, visited long, threshold_probability double, threshold_probability_bound double"
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def queries_of(spark: SparkSession, sf_dir: str, metric: str = ANGULAR) -> tuple[VectorTable, DataFrame]:
     """The embeddings and the stated query set: rows whose id is divisible by 100."""
     table = VectorTable.read(spark, f"{sf_dir}/embeddings.parquet", metric)
