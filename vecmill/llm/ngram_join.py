@@ -4,6 +4,7 @@ Documents with equal shingle sets are one node. Nodes that share a pair of min-h
 smallest of them; those that link form groups (stars), so a large family of near copies is one group after as
 many comparisons as it has members. Then the exact part:
 
+  Further rounds try other leaders.
 * Every node contributes the tokens of its prefix (the rarest shingles first; a pair that links must share
   some). The matrix stores per token and group that the group's union holds it, with the group's size range;
   it is aggregated before it is shuffled, so a family of copies costs one row per token.
@@ -31,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecmill.llm.common import cut, documents
+from vecmill.llm.common import cut, documents, stored
 from vecmill.llm.components import components
 
 #: Tokens kept of the heavy-hitter summaries, of each partition's and of all: they fix an order, no result.
@@ -40,7 +41,7 @@ HEAVY = 1 << 17
 MIN_HASHES = 12
 #: A linked pair shares this many tokens of its prefixes (less in very small sets).
 HITS = 3
-#: Ids up to which a list of ids is broadcast; beyond, it is joined by a shuffle.
+#: Ids (or tokens) up to which a list of them is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(20)
@@ -162,16 +163,20 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     rows = rows.mapInPandas(task, "doc_id string, sig binary, size long, keys array<long>, prefix array<long>")
-    return cut(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
+    return stored(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 _RNG_KEYS = np.random.default_rng(21).integers(0, 1 << 64, MIN_HASHES, dtype=np.uint64) | np.uint64(1)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has BROADCAST_IDS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
 def some(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` by whether their doc_id is among ``ids`` (doc_id)."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return df.join(bounded(ids), "doc_id", how)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -196,14 +201,28 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
 def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (id, ...) with their group: the root of their component, else the id."""
     roots = components(links)
-    return nodes.drop("group").join(roots, "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
+    return cut(nodes.drop("group").join(roots, "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root"))
+
+
+def leaders(nodes: DataFrame, rank) -> DataFrame:
+    """(a, b): each node and, for each of its min-hash keys, the node of least ``rank`` with that key, where the two
+    are in different groups."""
+    keyed = nodes.select("id", "group", F.explode("keys").alias("key"))
+    first = F.min(F.struct(rank.alias("rank"), F.col("id").alias("b"), F.col("group").alias("gb"))).alias("first")
+    lead = keyed.groupBy("key").agg(first, F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1")
+    met = keyed.join(lead.select("key", "first.b", "first.gb"), "key").where("group <> gb")
+    return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
-def stars(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node and the smallest node with one of its min-hash keys."""
-    keyed = nodes.select("id", "size", F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").select("key", "b")
-    return keyed.join(first, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+def stars(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes with their groups, links). Every round compares nodes with other leaders: copies that differ too
+    much from one of their family link to another."""
+    nodes, links = nodes.withColumn("group", F.col("id")), None
+    for rank in (F.col("id"), -F.col("id"), F.xxhash64("id"), F.xxhash64("id", F.lit(1))):
+        new = cut(verified(leaders(nodes, rank), docs, n, percent))
+        links = new if links is None else links.unionByName(new)
+        nodes = grouped(nodes, links)
+    return nodes, links
 
 
 def hits_needed(smallest, percent: int):
@@ -214,36 +233,48 @@ def fits(a_max, b_min, percent: int):
     return 100 * a_max >= percent * b_min
 
 
-def qualifying(nodes: DataFrame, percent: int) -> DataFrame:
-    """(ga, gb): groups whose unions share enough prefix tokens, ga < gb."""
-    cells = nodes.select("group", "size", F.explode("prefix").alias("token"))
+def shared_cells(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(token, group, id, size): the prefix tokens of the nodes that more than one group holds. The nodes' tokens are
+    shuffled once, as a token with the first and last of its groups, aggregated before."""
+    of = bounded(nodes.select(F.col("id").alias("doc_id"), "size", "group"))
+    cells = rows.select("doc_id", "size", "prefix").join(of, ["doc_id", "size"]).select("group", F.col("doc_id").alias("id"), "size", F.explode("prefix").alias("token"))
+    ends = cells.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1"))
+    shared = cut(ends.where("g0 < g1").select("token"))
+    return cut(cells.join(bounded(shared), "token").distinct())
+
+
+def meetings(cells: DataFrame, percent: int) -> DataFrame:
+    """(token, ga, gb): the token-group matrix met with itself, for groups whose size ranges admit a link."""
     matrix = cells.groupBy("token", "group").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    shared = matrix.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("token")
-    matrix = cut(matrix.join(shared, "token"))
-    ranges = nodes.groupBy("group").agg(F.min("size").alias("least"))
     a, b = matrix.alias("a"), matrix.alias("b")
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group"))
     on = on & fits(F.col("a.hi"), F.col("b.lo"), percent) & fits(F.col("b.hi"), F.col("a.lo"), percent)
-    pairs = a.join(b, on).groupBy(F.col("a.group").alias("ga"), F.col("b.group").alias("gb")).agg(F.count("*").alias("hits"))
-    many = pairs.where(F.col("hits") >= HITS)
+    return a.join(b, on).select(F.col("a.token").alias("token"), F.col("a.group").alias("ga"), F.col("b.group").alias("gb"))
+
+
+def qualifying(cells: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(ga, gb): groups whose unions share enough prefix tokens, ga < gb."""
+    pairs = meetings(cells, percent).groupBy("ga", "gb").agg(F.count("*").alias("hits"))
+    small = nodes.groupBy("group").agg(F.min("size").alias("least")).where(F.ceil(F.col("least") * percent / 100) < HITS)
     few = pairs.where(F.col("hits") < HITS)
-    small = ranges.where(F.ceil(F.col("least") * percent / 100) < HITS)
     for g in ("ga", "gb"):
         few = few.join(small.select(F.col("group").alias(g), F.col("least").alias(f"l{g}")), g, "left")
     need = F.least(*[F.coalesce(hits_needed(F.col(f"l{g}"), percent), F.lit(HITS)) for g in ("ga", "gb")])
-    return cut(many.unionByName(few.where(F.col("hits") >= need).select("ga", "gb", "hits")).select("ga", "gb"))
+    many = pairs.where(F.col("hits") >= HITS).select("ga", "gb")
+    return cut(many.unionByName(few.where(F.col("hits") >= need).select("ga", "gb")))
 
 
-def opened(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of the groups of ``pairs`` (ga, gb) that share enough prefix tokens."""
+def opened(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of the groups of ``pairs`` (ga, gb) that share enough prefix tokens. Members meet at the
+    tokens that both groups hold, not at the groups."""
+    at = meetings(cells, percent).join(pairs, ["ga", "gb"], "left_semi")
 
     def side(g: str, x: str) -> DataFrame:
-        members = nodes.join(pairs.select(F.col(g).alias("group")).distinct(), "group", "left_semi")
-        return members.select(F.col("group").alias(g), F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.explode("prefix").alias("token"))
+        return cells.select("token", F.col("group").alias(g), F.col("id").alias(x), F.col("size").alias(f"n{x}"))
 
-    met = pairs.join(side("ga", "a"), "ga").join(side("gb", "b"), ["gb", "token"])
+    met = at.join(side("ga", "a"), ["token", "ga"]).join(side("gb", "b"), ["token", "gb"])
     met = met.where(fits(F.col("na"), F.col("nb"), percent) & fits(F.col("nb"), F.col("na"), percent))
-    met = met.groupBy("a", "b").agg(F.count("*").alias("hits"), F.least(F.first("na"), F.first("nb")).alias("least"))
+    met = met.groupBy("a", "b").agg(F.count("*").alias("hits"), F.min(F.least("na", "nb")).alias("least"))
     return met.where(F.col("hits") >= hits_needed(F.col("least"), percent)).select("a", "b")
 
 
@@ -252,23 +283,21 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     rows = signatures(docs, n, percent)
     known = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL")
     classes = cut(known.groupBy("sig").agg(F.min("doc_id").alias("id")))
-    nodes = known.join(classes.withColumnRenamed("id", "doc_id"), ["sig", "doc_id"], "left_semi")
-    nodes = cut(nodes.select(F.col("doc_id").alias("id"), "size", "keys", "prefix").dropDuplicates(["id", "size"]))
-    links = verified(stars(nodes), docs, n, percent)
-    links = cut(links)
-    nodes = cut(grouped(nodes.drop("keys"), links))
-    pairs = qualifying(nodes, percent)
+    nodes = known.select("doc_id", "sig", "size", "keys").join(classes.withColumnRenamed("id", "doc_id"), ["sig", "doc_id"], "left_semi")
+    nodes = cut(nodes.select(F.col("doc_id").alias("id"), "size", "keys").dropDuplicates(["id", "size", "keys"]))
+    nodes, links = stars(nodes, docs, n, percent)
+    nodes = nodes.drop("keys")
+    cells = shared_cells(known, nodes.dropDuplicates(["id", "size"]))
+    pairs = qualifying(cells, nodes, percent)
     first = cut(verified(pairs.select(F.col("ga").alias("a"), F.col("gb").alias("b")), docs, n, percent))
-    # Groups that the first comparison joined need not be opened.
+    # Groups that the first comparison joined need not be opened, nor do single nodes, which it settled.
     merged = components(first)
-    for g in ("ga", "gb"):
-        pairs = pairs.join(merged.select(F.col("id").alias(g), F.col("root").alias(f"r{g}")), g, "left")
-    pairs = pairs.where(F.coalesce("rga", "ga") != F.coalesce("rgb", "gb")).select("ga", "gb")
     larger = nodes.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
     for g in ("ga", "gb"):
+        pairs = pairs.join(merged.select(F.col("id").alias(g), F.col("root").alias(f"r{g}")), g, "left")
         pairs = pairs.join(larger.select(F.col("group").alias(g), F.col("n").alias(f"n{g}")), g, "left")
-    pairs = cut(pairs.where("nga > 1 OR ngb > 1").select("ga", "gb"))
-    rest = verified(opened(pairs, nodes, percent), docs, n, percent)
+    pairs = pairs.where(F.coalesce("rga", "ga") != F.coalesce("rgb", "gb")).where("nga > 1 OR ngb > 1")
+    rest = verified(opened(cut(pairs.select("ga", "gb")), cells, percent), docs, n, percent)
     roots = components(links.unionByName(first).unionByName(rest))
     found = classes.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("component"))
     # A class of exact copies may hold a third of the rows: AQE splits that key of this join.
