@@ -32,7 +32,7 @@ REPEATS = 2
 BLOCK = 128
 SHARD_SLOTS = 1 << 22
 MIN_SHARDS = 16
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 CHUNK = 1 << 14
 TASK_SLOTS = 1 << 19
 MAX_SOURCES = 100_000
@@ -187,7 +187,8 @@ def taken(rows: DataFrame, table: pd.DataFrame, block: int = BLOCK) -> DataFrame
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), last))
     pieces = placed.withColumn("block", F.explode_outer(blocks))
-    found = pieces.join(slots(spark, table, block), ["sid", "block"], "left")
+    # Slots grow with the input though their shuffled bytes are few: never broadcast.
+    found = pieces.join(slots(spark, table, block).hint("merge"), ["sid", "block"], "left")
     lo = F.greatest(F.col("start"), F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
     found = found.withColumn("got", F.when(F.col("words").isNull(), 0).otherwise(F.greatest(end - lo, F.lit(0))))
