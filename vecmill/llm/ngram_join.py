@@ -4,12 +4,12 @@ Documents with equal shingle sets are one node. Nodes that share a pair of min-h
 smallest of them; those that link form groups (stars), so a large family of near copies is one group after as
 many comparisons as it has members. Then the exact part:
 
-  Further rounds try other leaders.
+  A second round tries other leaders.
 * Every node contributes the tokens of its prefix (the rarest shingles first; a pair that links must share
   some). The matrix stores per token and group that the group's union holds it, with the group's size range;
   it is aggregated before it is shuffled, so a family of copies costs one row per token.
 * Two groups qualify if their unions share at least as many prefix tokens as any linked pair must, and their
-  size ranges admit a link. Only qualifying groups are opened: first their smallest members are compared,
+  size ranges admit a link with what they can share at most (what a node's prefix holds alone it shares with none). Only qualifying groups are opened: first their smallest members are compared,
   then, where that did not join them, all members that share tokens.
 
 No pair within a group is made, yet no link between different groups is lost: whether two nodes of different
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vecmill.llm.common import cut, documents, stored
 from vecmill.llm.components import components
@@ -132,14 +132,16 @@ def heavy_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, sig, size, keys, prefix) of each row; written once, so texts are not hashed again."""
+    """(doc_id, sig, size, rare, end, keys, prefix) of each row; written once, so texts are not hashed again. ``rare``
+    counts the shingles that are no heavy hitters: it is least for the text that most copies of a family stem from.
+    ``end`` rises with the place of the prefix's last token in the order of all tokens."""
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, n))
     mul = _RNG_KEYS
 
     def one(text):
         s = shingles(text, n)
         if not len(s):
-            return None, 0, [], []
+            return None, 0, 0, 0, [], []
         tokens, counts = heavy.value
         cls = np.zeros(len(s), dtype=np.int64)
         if len(tokens):
@@ -147,22 +149,24 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             cls = np.where(tokens[at] == s, counts[at], 0)
         least = needed(len(s), percent)
         length = len(s) - least + min(HITS, least)
-        prefix = s[np.lexsort((s, cls))[:length]]
+        order = np.lexsort((s, cls))[:length]
+        prefix = s[order]
+        end = (min(int(cls[order[-1]]), (1 << 20) - 1) << 43) | (int(prefix[-1]) >> 21)
         mins = np.array([(s * m).min() for m in mul])
         keys = _mix(mins[::2] * np.uint64(3) + _mix(mins[1::2])) ^ np.arange(len(mins) // 2, dtype=np.uint64)
-        return hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), keys.view(np.int64), prefix.view(np.int64)
+        return hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), int((cls == 0).sum()), end, keys.view(np.int64), prefix.view(np.int64)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.iloc[lo : lo + 2000]
                 rows = [one(t) for t in part["text"]]
-                out = pd.DataFrame(rows, columns=["sig", "size", "keys", "prefix"])
+                out = pd.DataFrame(rows, columns=["sig", "size", "rare", "end", "keys", "prefix"])
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
                 yield out
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    rows = rows.mapInPandas(task, "doc_id string, sig binary, size long, keys array<long>, prefix array<long>")
+    rows = rows.mapInPandas(task, "doc_id string, sig binary, size long, rare long, end long, keys array<long>, prefix array<long>")
     return stored(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
@@ -182,7 +186,9 @@ def some(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets link."""
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    if pairs.isEmpty():
+        return pairs
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -204,25 +210,26 @@ def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.drop("group").join(roots, "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root"))
 
 
-def leaders(nodes: DataFrame, rank) -> DataFrame:
-    """(a, b): each node and, for each of its min-hash keys, the node of least ``rank`` with that key, where the two
+def leaders(nodes: DataFrame, *ranks) -> DataFrame:
+    """(a, b): each node and, for each of its min-hash keys, the nodes of least ``ranks`` with that key, where the two
     are in different groups."""
-    keyed = nodes.select("id", "group", F.explode("keys").alias("key"))
-    first = F.min(F.struct(rank.alias("rank"), F.col("id").alias("b"), F.col("group").alias("gb"))).alias("first")
-    lead = keyed.groupBy("key").agg(first, F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1")
-    met = keyed.join(lead.select("key", "first.b", "first.gb"), "key").where("group <> gb")
-    return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    keyed = nodes.select("id", "group", "rare", F.explode("keys").alias("key"))
+    firsts = [F.min(F.struct(rank.alias("rank"), F.col("id").alias("b"), F.col("group").alias("gb"))) for rank in ranks]
+    lead = keyed.groupBy("key").agg(F.array(*firsts).alias("firsts"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1")
+    met = keyed.join(lead.select("key", F.explode("firsts").alias("f")), "key").where("group <> f.gb")
+    return met.select(F.greatest("id", "f.b").alias("a"), F.least("id", "f.b").alias("b")).distinct()
 
 
 def stars(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes with their groups, links). Every round compares nodes with other leaders: copies that differ too
-    much from one of their family link to another."""
-    nodes, links = nodes.withColumn("group", F.col("id")), None
-    for rank in (F.col("id"), -F.col("id"), F.xxhash64("id"), F.xxhash64("id", F.lit(1))):
-        new = cut(verified(leaders(nodes, rank), docs, n, percent))
-        links = new if links is None else links.unionByName(new)
-        nodes = grouped(nodes, links)
-    return nodes, links
+    """(nodes with their groups, links). A second round compares the nodes of different groups with other leaders:
+    copies that differ too much from one of their family link to another."""
+    links = cut(verified(leaders(nodes.withColumn("group", F.col("id")), F.col("rare")), docs, n, percent))
+    nodes = grouped(nodes, links)
+    new = cut(verified(leaders(nodes, F.col("id"), -F.col("id"), F.xxhash64("id")), docs, n, percent))
+    if new.isEmpty():
+        return nodes, links
+    links = links.unionByName(new)
+    return grouped(nodes, links), links
 
 
 def hits_needed(smallest, percent: int):
@@ -233,22 +240,42 @@ def fits(a_max, b_min, percent: int):
     return 100 * a_max >= percent * b_min
 
 
-def shared_cells(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(token, group, id, size): the prefix tokens of the nodes that more than one group holds. The nodes' tokens are
-    shuffled once, as a token with the first and last of its groups, aggregated before."""
+def prefix_length(size, percent: int):
+    least = F.ceil(size * percent / 100)
+    return size - least + F.least(F.lit(HITS), least)
+
+
+def shared_cells(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(token, group, id, size, most, end): the prefix tokens of the nodes that more than one group holds. ``most``
+    bounds what a node can share with the nodes of other groups whose prefix ends later: a prefix token that none of
+    them holds is not in their sets either.
+    The nodes' tokens are shuffled once, as a token with the first and last of its groups, aggregated before."""
     of = bounded(nodes.select(F.col("id").alias("doc_id"), "size", "group"))
-    cells = rows.select("doc_id", "size", "prefix").join(of, ["doc_id", "size"]).select("group", F.col("doc_id").alias("id"), "size", F.explode("prefix").alias("token"))
+    cells = rows.select("doc_id", "size", "end", "prefix").join(of, ["doc_id", "size"]).select("group", F.col("doc_id").alias("id"), "size", "end", F.explode("prefix").alias("token"))
     ends = cells.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1"))
     shared = cut(ends.where("g0 < g1").select("token"))
-    return cut(cells.join(bounded(shared), "token").distinct())
+    cells = cells.join(bounded(shared), "token").distinct()
+    own = F.count("*").over(Window.partitionBy("id", "size"))
+    cells = cells.withColumn("most", F.col("size") - prefix_length(F.col("size"), percent) + own)
+    return cut(cells)
+
+
+def overlaps(sizes, a_first, a_last, b_first, b_last, a_most, b_most, percent: int):
+    """Whether sets of these sizes, together, can link: 100 * x >= percent * (sizes - x) for what they share at most.
+    The bound is that of the side whose prefix surely ends first."""
+    most = F.when(a_last < b_first, a_most).when(b_last < a_first, b_most).otherwise(F.greatest(a_most, b_most))
+    return percent * sizes <= (100 + percent) * most
 
 
 def meetings(cells: DataFrame, percent: int) -> DataFrame:
-    """(token, ga, gb): the token-group matrix met with itself, for groups whose size ranges admit a link."""
-    matrix = cells.groupBy("token", "group").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    """(token, ga, gb): the token-group matrix met with itself, for groups whose size ranges
+    and bounds on what they share admit a link."""
+    matrix = cells.groupBy("token", "group").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("most").alias("most"), F.min("end").alias("first"), F.max("end").alias("last"))
     a, b = matrix.alias("a"), matrix.alias("b")
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group"))
     on = on & fits(F.col("a.hi"), F.col("b.lo"), percent) & fits(F.col("b.hi"), F.col("a.lo"), percent)
+    ends = [F.col(f"{x}.{c}") for x in "ab" for c in ("first", "last")]
+    on = on & overlaps(F.col("a.lo") + F.col("b.lo"), *ends, F.col("a.most"), F.col("b.most"), percent)
     return a.join(b, on).select(F.col("a.token").alias("token"), F.col("a.group").alias("ga"), F.col("b.group").alias("gb"))
 
 
@@ -269,11 +296,15 @@ def opened(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     tokens that both groups hold, not at the groups."""
     at = meetings(cells, percent).join(pairs, ["ga", "gb"], "left_semi")
 
-    def side(g: str, x: str) -> DataFrame:
-        return cells.select("token", F.col("group").alias(g), F.col("id").alias(x), F.col("size").alias(f"n{x}"))
+    def side(x: str) -> DataFrame:
+        names = {"token": "t", "group": "k", "id": "", "size": "n", "most": "m", "end": "e"}
+        return cells.select(*[F.col(c).alias(f"{short}{x}") for c, short in names.items()])
 
-    met = at.join(side("ga", "a"), ["token", "ga"]).join(side("gb", "b"), ["token", "gb"])
-    met = met.where(fits(F.col("na"), F.col("nb"), percent) & fits(F.col("nb"), F.col("na"), percent))
+    met = at.join(side("a"), (F.col("token") == F.col("ta")) & (F.col("ga") == F.col("ka")))
+    c = F.col
+    can = fits(c("na"), c("nb"), percent) & fits(c("nb"), c("na"), percent)
+    can = can & overlaps(c("na") + c("nb"), c("ea"), c("ea"), c("eb"), c("eb"), c("ma"), c("mb"), percent)
+    met = met.join(side("b"), (c("token") == c("tb")) & (c("gb") == c("kb")) & can)
     met = met.groupBy("a", "b").agg(F.count("*").alias("hits"), F.min(F.least("na", "nb")).alias("least"))
     return met.where(F.col("hits") >= hits_needed(F.col("least"), percent)).select("a", "b")
 
@@ -283,11 +314,11 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     rows = signatures(docs, n, percent)
     known = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL")
     classes = cut(known.groupBy("sig").agg(F.min("doc_id").alias("id")))
-    nodes = known.select("doc_id", "sig", "size", "keys").join(classes.withColumnRenamed("id", "doc_id"), ["sig", "doc_id"], "left_semi")
-    nodes = cut(nodes.select(F.col("doc_id").alias("id"), "size", "keys").dropDuplicates(["id", "size", "keys"]))
+    nodes = known.select("doc_id", "sig", "size", "rare", "keys").join(classes.withColumnRenamed("id", "doc_id"), ["sig", "doc_id"], "left_semi")
+    nodes = cut(nodes.select(F.col("doc_id").alias("id"), "size", "rare", "keys").dropDuplicates(["id", "size", "keys"]))
     nodes, links = stars(nodes, docs, n, percent)
     nodes = nodes.drop("keys")
-    cells = shared_cells(known, nodes.dropDuplicates(["id", "size"]))
+    cells = shared_cells(known, nodes.dropDuplicates(["id", "size"]), percent)
     pairs = qualifying(cells, nodes, percent)
     first = cut(verified(pairs.select(F.col("ga").alias("a"), F.col("gb").alias("b")), docs, n, percent))
     # Groups that the first comparison joined need not be opened, nor do single nodes, which it settled.
