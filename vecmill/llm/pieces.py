@@ -6,8 +6,8 @@ the word's lattice, and a higher-order ``aggregate`` folds each lattice into a p
 model: the best path by score (Viterbi) for unigram models; for BPE models, whose result is not the path with
 the best score, the merges in order of score. The path table is then joined back to the words of the texts.
 
-Words that make up more than a millionth of all are at most a million by that, so their paths are broadcast;
-the others are joined by a shuffle. Words over LONG characters take a plain heap in Python (BPE) instead.
+Words that make up more than a four-millionth of all are at most four million by that (in natural text some
+hundred thousand), so their paths are broadcast; the others are joined by a shuffle. Words over LONG characters take a plain heap in Python (BPE) instead.
 
 Decoding joins ids to pieces, and is applied to every distinct word to prove the round trip.
 
@@ -24,13 +24,14 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vecmill.llm.common import cut, documents, let, upto
+from vecmill.llm.common import documents, let, stored, upto
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Word length up to which the boundaries of a word fit a 64-bit mask.
 LONG = 60
-FREQUENT = 1_000_000
+FREQUENT = 4_000_000
+TASK_WORDS = 20_000
 
 
 @dataclass(frozen=True)
@@ -218,25 +219,31 @@ def decode(df: DataFrame, vocabulary: Vocabulary, key: str, ids: str = "ids") ->
 
 def path_table(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(word, count, ids, ok) of each distinct word of ``df`` (text): ok if the ids decode to the word."""
-    counted = df.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
-    counted = cut(counted)
-    coded = cut(encode_words(counted.repartition("word"), vocabulary))
-    back = decode(coded, vocabulary, "word")
-    return cut(coded.join(back, "word").join(counted, "word").select("word", "count", "ids", (F.col("text") == F.col("word")).alias("ok")))
+    counted = stored(df.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("count")))
+    # Partitioned by word from here on: lattices, paths and decoded words need no further exchange.
+    # So few words a task that their lattices are sorted in memory.
+    tasks = counted.count() // TASK_WORDS + 1
+    coded = encode_words(counted.select("word").repartition(tasks, "word"), vocabulary)
+    at = coded.select("word", "ids", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(surfaces(vocabulary, df.sparkSession)), "id", "left")
+    back = at.groupBy("word").agg(F.first("ids").alias("ids"), F.sort_array(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
+    back = back.withColumn("ok", F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["hex"]), "")), "UTF-8") == F.col("word"))
+    return stored(back.join(counted, "word").select("word", "count", "ids", "ok"))
 
 
 def per_word(df: DataFrame, paths: DataFrame) -> DataFrame:
-    """Frequent and rare words of ``df`` (row, doc_id, text) with their paths: row, doc_id, pos, ids, ok; rows
-    without words have one row with a null pos."""
+    """Frequent and rare words of ``df`` (row, doc_id, text) with their paths: row, doc_id, pos, ids, ok. Each row of
+    ``df`` has a row with pos -1 that carries its doc_id; the rare words, which are shuffled, do not."""
     total = paths.agg(F.sum("count")).first()[0] or 0
     often = F.col("count") * FREQUENT > total
     few = F.broadcast(paths.where(often).select("word", "ids", "ok"))
-    every = df.select("row", "doc_id", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word"))
+    words = F.concat(F.array(F.lit(None).cast("string")), words_of(F.col("text")))
+    every = df.select("row", "doc_id", F.posexplode_outer(words).alias("pos", "word")).withColumn("pos", F.col("pos") - 1)
     near = every.join(few, "word", "left")
-    near = near.where(F.col("ids").isNotNull() | F.col("pos").isNull())
-    rare = every.where("pos IS NOT NULL").join(few.select("word"), "word", "left_anti").join(paths.where(~often).select("word", "ids", "ok"), "word")
-    columns = ["row", "doc_id", "pos", "ids", "ok"]
-    return near.select(*columns).unionByName(rare.select(*columns))
+    near = near.where(F.col("ids").isNotNull() | (F.col("pos") < 0))
+    rare = every.where("pos >= 0").select("row", "pos", "word").join(few.select("word"), "word", "left_anti")
+    rare = rare.join(paths.where(~often).select("word", "ids", "ok"), "word")
+    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), "pos", "ids", "ok")
+    return near.select("row", F.when(F.col("pos") < 0, F.col("doc_id")).alias("doc_id"), "pos", "ids", "ok").unionByName(rare)
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -246,7 +253,7 @@ def numbered(df: DataFrame) -> DataFrame:
 def encode(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(row, doc_id, ids) per row of ``df`` (doc_id, text)."""
     at = per_word(numbered(df), path_table(df, vocabulary))
-    lists = at.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("w"))
+    lists = at.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "ids")))).alias("w"))
     return lists.select("row", "doc_id", F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"))
 
 
@@ -254,11 +261,12 @@ def digest(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row per row of ``df`` (doc_id, text): n_words, n_tokens, ids_digest (of all ids in their places) and
     round_trip. Only sums of words are shuffled by row, so id lists never leave their task."""
     at = per_word(numbered(df), path_table(df, vocabulary))
+    word = F.col("pos") >= 0
     found = at.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.count("pos").alias("n_words"),
-        F.coalesce(F.sum(F.size("ids").cast("long") * F.when(F.col("pos").isNotNull(), 1).otherwise(0)), F.lit(0)).alias("n_tokens"),
-        F.coalesce(F.bit_xor(F.when(F.col("pos").isNotNull(), F.xxhash64("pos", "ids"))), F.lit(0)).alias("ids_digest"),
+        F.max("doc_id").alias("doc_id"),
+        F.count_if(word).alias("n_words"),
+        F.sum(F.when(word, F.size("ids").cast("long")).otherwise(0)).alias("n_tokens"),
+        F.coalesce(F.bit_xor(F.when(word, F.xxhash64("pos", "ids"))), F.lit(0)).alias("ids_digest"),
         F.coalesce(F.min(F.col("ok")), F.lit(True)).alias("round_trip"),
     )
     return found.drop("row")
