@@ -148,3 +148,26 @@ def test_pipeline_of_odd_rows(spark, sf_dir):
             frame = stage(spark, frame, sf_dir)
             assert k == 4 or frame.columns == docs.columns
         frame.collect()
+
+
+@needs_model
+@pytest.mark.parametrize("frequent", [1, 40, pieces.FREQUENT])
+def test_query_returns_ids_that_decode_to_each_document(spark, tmp_path, monkeypatch, frequent):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "FREQUENT", frequent)
+    monkeypatch.setattr(pieces, "TASK_ROWS", 3)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = TEXTS + ["the of rare1 the rare2 rare1", "of the"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in pieces.op9_pieces(spark, str(tmp_path)).collect()}
+    assert {i: r.ids for i, r in rows.items()} == {i: library.encode(t or "") for i, t in enumerate(texts)}
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in rows.values())
+
+
+@needs_model
+def test_a_document_that_decodes_to_another_text_does_not_round_trip(spark, monkeypatch):
+    right = pieces.assembled
+    monkeypatch.setattr(pieces, "assembled", lambda *a: right(*a).withColumn("ids", F.reverse("ids")))
+    df = spark.createDataFrame([(1, "the end of it"), (2, "")], "doc_id long, text string")
+    assert {r.doc_id: r.round_trip for r in pieces.digest(df, pieces.load()).collect()} == {1: False, 2: True}

@@ -4,12 +4,12 @@ Text is cut into words (a run of blanks and what follows). The distinct words of
 their bounded-length substrings are exploded and equi-joined to the piece table, the matches are the edges of
 the word's lattice, and a higher-order ``aggregate`` folds each lattice into a path. The fold depends on the
 model: the best path by score (Viterbi) for unigram models; for BPE models, whose result is not the path with
-the best score, the merges in order of score. The path table is then joined back to the words of the texts.
+the best score, the merges in order of score. The paths are then put together to each document's list of ids.
 
 Words that make up more than a four-millionth of all are at most four million by that (in natural text some
 hundred thousand), so their paths are broadcast; the others are joined by a shuffle. Words over LONG characters take a plain heap in Python (BPE) instead.
 
-Decoding joins ids to pieces, and is applied to every distinct word to prove the round trip.
+Decoding looks ids up among the pieces, and is applied to every document's list to prove the round trip.
 
 Defined results: null and empty texts have no words and no tokens, and round-trip; characters that are not
 pieces become their UTF-8 bytes; rows that repeat each other are encoded one by one; other columns are dropped.
@@ -18,11 +18,16 @@ pieces become their UTF-8 bytes; rows that repeat each other are encoded one by
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vecmill.llm.common import documents, let, stored, upto
 
@@ -32,6 +37,8 @@ SPACE = "▁"
 LONG = 60
 FREQUENT = 4_000_000
 TASK_WORDS = 20_000
+#: Rows of a batch that are put together at a time.
+TASK_ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -204,72 +211,143 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return out.unionByName(words.where(F.length("word") > LONG).select("word").mapInPandas(task, "word string, ids array<int>"))
 
 
-def surfaces(vocabulary: Vocabulary, spark: SparkSession) -> DataFrame:
-    """(id, hex): the UTF-8 bytes that an id stands for."""
-    rows = [(i, p.encode().hex().upper()) for p, i, _ in vocabulary.pieces] + [(i, f"{b:02X}") for b, i in enumerate(vocabulary.bytes_)]
-    return spark.createDataFrame(rows, "id int, hex string")
+def decode(df: DataFrame, vocabulary: Vocabulary, key: str, ids: str = "ids") -> DataFrame:
+    """(key, text): the normalized text of each id list."""
+    return decoded(df.select(key, F.col(ids).alias("ids")), vocabulary).select(key, "text")
 
 
-def decode(df: DataFrame, vocabulary: Vocabulary, key: str, ids: str = "ids") -> DataFrame:
-    """(key, text): the normalized text of each id list; ``key`` must tell rows apart."""
-    at = df.select(key, F.posexplode_outer(ids).alias("pos", "id")).join(F.broadcast(surfaces(vocabulary, df.sparkSession)), "id", "left")
-    lists = at.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
-    return lists.select(key, F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["hex"]), "")), "UTF-8").alias("text"))
+def decoded(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``df`` with ``text``, the normalized text of its ``ids``. The surfaces, as many as the vocabulary has pieces, go
+    to every task; an id without a surface stands for nothing."""
+    surface = {**{i: p.encode() for p, i, _ in vocabulary.pieces}, **{i: bytes([b]) for b, i in enumerate(vocabulary.bytes_)}}
+    table = df.sparkSession.sparkContext.broadcast([surface.get(i, b"") for i in range(max(surface, default=-1) + 2)])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(table.value, pa.binary())
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TASK_ROWS):
+                part = batch.slice(lo, TASK_ROWS)
+                at, flat = listed(part.column("ids"))
+                flat = np.where((flat >= 0) & (flat < len(known)), flat, len(known) - 1)
+                parts = known.take(pa.array(flat))
+                ends = np.frombuffer(parts.buffers()[1], dtype=np.int32)[: len(flat) + 1] if len(flat) else np.zeros(1, dtype=np.int32)
+                raw = (parts.buffers()[2] or b"") if len(flat) else b""
+                raw, at = memoryview(raw), ends[at]
+                texts = [bytes(raw[i:j]).decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "text"])
+
+    return df.mapInArrow(task, StructType([*df.schema.fields, StructField("text", StringType())]))
+
+
+def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list of a column begins and ends (n + 1 places), and the lists' values, from 0. Null lists are empty."""
+    flat = column.flatten()
+    lengths = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return np.concatenate(([0], np.cumsum(lengths))), flat.to_numpy(zero_copy_only=False) if pa.types.is_integer(flat.type) else flat
 
 
 def path_table(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, count, ids, ok) of each distinct word of ``df`` (text): ok if the ids decode to the word."""
+    """(word, count, ids) of each distinct word of ``df`` (text)."""
     counted = stored(df.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("count")))
-    # Partitioned by word from here on: lattices, paths and decoded words need no further exchange.
+    # Partitioned by word from here on: lattices and paths need no further exchange.
     # So few words a task that their lattices are sorted in memory.
     tasks = counted.count() // TASK_WORDS + 1
     coded = encode_words(counted.select("word").repartition(tasks, "word"), vocabulary)
-    at = coded.select("word", "ids", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(surfaces(vocabulary, df.sparkSession)), "id", "left")
-    back = at.groupBy("word").agg(F.first("ids").alias("ids"), F.sort_array(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
-    back = back.withColumn("ok", F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["hex"]), "")), "UTF-8") == F.col("word"))
-    return stored(back.join(counted, "word").select("word", "count", "ids", "ok"))
+    return stored(coded.join(counted, "word").select("word", "count", "ids"))
 
 
-def per_word(df: DataFrame, paths: DataFrame) -> DataFrame:
-    """Frequent and rare words of ``df`` (row, doc_id, text) with their paths: row, doc_id, pos, ids, ok. Each row of
-    ``df`` has a row with pos -1 that carries its doc_id; the rare words, which are shuffled, do not."""
+def numbered(df: DataFrame) -> DataFrame:
+    return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+
+def frequent_ids(rows: DataFrame, few: pa.Table) -> DataFrame:
+    """(row, doc_id, mark, n_words, packed) of ``rows`` (row, doc_id, text): the ids of the words of ``few`` (word, ids),
+    and -1 - k for the k-th of a row's other words, deflated by bytes of equal weight. Each row is put together within its task."""
+    words, ids = few.column("word").combine_chunks(), few.column("ids").combine_chunks()
+    table = rows.sparkSession.sparkContext.broadcast((words, *listed(ids)))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, begin, values = table.value
+        values = np.concatenate((values.astype(np.int32), np.zeros(1, dtype=np.int32)))
+        for batch in batches:
+            all_at, flat = listed(batch.column("words"))
+            found = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False)
+            for lo in range(0, batch.num_rows, TASK_ROWS):
+                part = batch.slice(lo, TASK_ROWS)
+                at = all_at[lo : lo + part.num_rows + 1]
+                own, at = found[at[0] : at[-1]], at - at[0]
+                rare = own < 0
+                length = np.where(rare, 1, begin[own + 1] - begin[own])
+                place = np.concatenate(([0], np.cumsum(length)))
+                source = np.repeat(np.where(rare, len(values) - 1, begin[own]) - place[:-1], length) + np.arange(place[-1])
+                out = values[source]
+                before = np.concatenate(([0], np.cumsum(rare)))
+                out[place[:-1][rare]] = -1 - (before[:-1] - np.repeat(before[at[:-1]], np.diff(at)))[rare]
+                packed = [zlib.compress(out[i:j].view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for i, j in zip(place[at[:-1]], place[at[1:]], strict=True)]
+                columns = [part.column("row"), part.column("doc_id"), part.column("mark"), pa.array(np.diff(at), pa.int64()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "n_words", "packed"])
+
+    text = normalized(F.coalesce(F.col("text"), F.lit("")))
+    asked = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("mark"), words_of(F.col("text")).alias("words"))
+    return asked.mapInArrow(task, "row long, doc_id long, mark binary, n_words long, packed binary")
+
+
+def filled(packed: bytes, rare: list[np.ndarray] | None) -> np.ndarray | None:
+    """The ids of a row, with those of its rare words; none if one of these is missing, so that the row cannot pass."""
+    ids = np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    open_ = np.flatnonzero(ids < 0)
+    if len(open_) != len(rare or []):
+        return None
+    if not len(open_):
+        return ids
+    # The rare words stand in order: the k-th takes the k-th place.
+    parts, last = [], 0
+    for i, own in zip(open_, rare, strict=True):
+        parts += [ids[last:i], own]
+        last = i + 1
+    return np.concatenate([*parts, ids[last:]]).astype(np.int32)
+
+
+def assembled(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(row, doc_id, mark, n_words, ids) per row of ``df`` (doc_id, text); ``mark`` is the MD5 of the normalized text.
+
+    Frequent words' ids never leave their row: a row is shuffled once, as its list of ids, to meet the ids of its rare
+    words, which are shuffled by word and by row."""
+    paths = path_table(df, vocabulary)
     total = paths.agg(F.sum("count")).first()[0] or 0
     often = F.col("count") * FREQUENT > total
-    few = F.broadcast(paths.where(often).select("word", "ids", "ok"))
-    words = F.concat(F.array(F.lit(None).cast("string")), words_of(F.col("text")))
-    every = df.select("row", "doc_id", F.posexplode_outer(words).alias("pos", "word")).withColumn("pos", F.col("pos") - 1)
-    near = every.join(few, "word", "left")
-    near = near.where(F.col("ids").isNotNull() | (F.col("pos") < 0))
-    rare = every.where("pos >= 0").select("row", "pos", "word").join(few.select("word"), "word", "left_anti")
-    rare = rare.join(paths.where(~often).select("word", "ids", "ok"), "word")
-    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), "pos", "ids", "ok")
-    return near.select("row", F.when(F.col("pos") < 0, F.col("doc_id")).alias("doc_id"), "pos", "ids", "ok").unionByName(rare)
+    few, rows = paths.where(often), numbered(df)
+    near = frequent_ids(rows, few.select("word", "ids").toArrow())
+    every = rows.select("row", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
+    rare = every.join(F.broadcast(few.select("word")), "word", "left_anti").join(paths.where(~often).select("word", "ids"), "word")
+    rare = rare.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("rare"))
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TASK_ROWS):
+                part = batch.slice(lo, TASK_ROWS)
+                lists = [filled(p, r) for p, r in zip(part.column("packed").to_pylist(), part.column("rare").to_pylist(), strict=True)]
+                columns = [*part.columns[:4], pa.array(lists, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:4], "ids"])
 
-def numbered(df: DataFrame) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    both = near.join(rare, "row", "left").select("row", "doc_id", "mark", "n_words", "packed", "rare")
+    return both.mapInArrow(task, "row long, doc_id long, mark binary, n_words long, ids array<int>")
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(row, doc_id, ids) per row of ``df`` (doc_id, text)."""
-    at = per_word(numbered(df), path_table(df, vocabulary))
-    lists = at.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "ids")))).alias("w"))
-    return lists.select("row", "doc_id", F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"))
+    return assembled(df, vocabulary).select("row", "doc_id", "ids")
 
 
 def digest(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """One row per row of ``df`` (doc_id, text): n_words, n_tokens, ids_digest (of all ids in their places) and
-    round_trip. Only sums of words are shuffled by row, so id lists never leave their task."""
-    at = per_word(numbered(df), path_table(df, vocabulary))
-    word = F.col("pos") >= 0
-    found = at.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.count_if(word).alias("n_words"),
-        F.sum(F.when(word, F.size("ids").cast("long")).otherwise(0)).alias("n_tokens"),
-        F.coalesce(F.bit_xor(F.when(word, F.xxhash64("pos", "ids"))), F.lit(0)).alias("ids_digest"),
-        F.coalesce(F.min(F.col("ok")), F.lit(True)).alias("round_trip"),
-    )
-    return found.drop("row")
+    """One row per row of ``df`` (doc_id, text): its ids, n_words, n_tokens, ids_digest (of the ids in their places) and
+    round_trip: whether the ids decode to the document's normalized text (by its MD5)."""
+    found = decoded(assembled(df, vocabulary), vocabulary)
+    same = F.unhex(F.md5(F.encode("text", "UTF-8"))) == F.col("mark")
+    return found.select(
+        "doc_id", "n_words", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_digest"),
+        F.coalesce(same & F.col("ids").isNotNull(), F.lit(False)).alias("round_trip"), "ids",
+    )
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
