@@ -346,3 +346,23 @@ def test_warc_reader_rejects_damage():
     raw = zlib.decompress(good, 31).replace(b"payload\r\n", b"paYload\r\n")
     with pytest.raises(warc.WarcError):
         list(warc.read_records(bad.compress(raw) + bad.flush()))
+
+
+def test_ngram_join_keeps_the_order_of_very_frequent_tokens(spark, monkeypatch):
+    import numpy as np
+
+    shared = [f"s{i}" for i in range(920)]
+    texts = [" ".join(shared + [f"a{i}" for i in range(80)]), " ".join(shared + [f"b{i}" for i in range(60)])]
+    hashes = np.sort(np.concatenate([ngram_join.shingles(w, 1) for w in shared]))
+    # Shingles held by more than 2^20 texts, whose order by count is the reverse of that by hash.
+    counts = (1 << 20) + np.arange(len(hashes), 0, -1)
+    monkeypatch.setattr(ngram_join, "heavy_tokens", lambda *_: (hashes, counts))
+    # No min-hashes: the prefixes alone decide.
+    monkeypatch.setattr(ngram_join, "leaders", lambda nodes, *_: nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    got = ngram_join.join(frame(spark, texts), 1, 85).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == [(1000, 0), (980, 0)]
+
+
+def test_places_beyond_the_bits_are_equal():
+    most = (1 << 40) - 1
+    assert ngram_join.place(most - 1, (1 << 64) - 1) < ngram_join.place(most, 5) == ngram_join.place(most + 9, 1 << 63) < 1 << 63

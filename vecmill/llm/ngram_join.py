@@ -131,6 +131,13 @@ def heavy_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], top["n"].to_numpy(dtype=np.int64)[order]
 
 
+def place(count: int, token: int) -> int:
+    """A number that rises with a token's place in the order of all tokens, by count and token. Equal numbers leave the
+    order open: counts above what 40 bits hold are not told apart, so their tokens must not be compared either."""
+    most = (1 << 40) - 1
+    return most << 23 if count >= most else (count << 23) | (token >> 41)
+
+
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, sig, size, rare, end, keys, prefix) of each row; written once, so texts are not hashed again. ``rare``
     counts the shingles that are no heavy hitters: it is least for the text that most copies of a family stem from.
@@ -151,7 +158,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
         length = len(s) - least + min(HITS, least)
         order = np.lexsort((s, cls))[:length]
         prefix = s[order]
-        end = (min(int(cls[order[-1]]), (1 << 20) - 1) << 43) | (int(prefix[-1]) >> 21)
+        end = place(int(cls[order[-1]]), int(prefix[-1]))
         mins = np.array([(s * m).min() for m in mul])
         keys = _mix(mins[::2] * np.uint64(3) + _mix(mins[1::2])) ^ np.arange(len(mins) // 2, dtype=np.uint64)
         return hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), int((cls == 0).sum()), end, keys.view(np.int64), prefix.view(np.int64)
