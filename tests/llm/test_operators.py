@@ -366,3 +366,17 @@ def test_ngram_join_keeps_the_order_of_very_frequent_tokens(spark, monkeypatch):
 def test_places_beyond_the_bits_are_equal():
     most = (1 << 40) - 1
     assert ngram_join.place(most - 1, (1 << 64) - 1) < ngram_join.place(most, 5) == ngram_join.place(most + 9, 1 << 63) < 1 << 63
+
+
+@pytest.mark.parametrize("bucket_rows", [mixing.BUCKET_ROWS, 7])
+def test_mixed_documents_meet_each_target(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * int(rng.paretovariate(1.2) * 60 % 5000)), "en", rng.choice("abcccc"), 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix_documents(spark, docs, "").collect()
+    table = mixing.sources(mixing.sized(docs))
+    for source, target in zip(table["source"], table["target"], strict=True):
+        longest = max(len(t.split()) for _, t, _, s, _ in rows if s == source)
+        assert abs(sum(len(r.text.split()) for r in out if r.source == source) - target) <= longest / 2 + 1
+    assert sorted(out) == sorted(mixing.mix_documents(spark, docs.repartition(3), "").collect())

@@ -114,8 +114,9 @@ def sources(rows: DataFrame) -> pd.DataFrame:
     return table
 
 
-def offsets(rows: DataFrame, table: pd.DataFrame) -> DataFrame:
-    """Adds ``sid`` (the source's number), ``bucket``, ``rank`` and ``start``: where the row's words begin among its source's."""
+def offsets(rows: DataFrame, table: pd.DataFrame, *first) -> DataFrame:
+    """Adds ``sid`` (the source's number), ``bucket``, ``rank`` and ``start``: where the row's words begin among its source's.
+    Within a bucket rows come by the columns ``first``, then by id."""
     spark = rows.sparkSession
     ids = spark.createDataFrame([(i, s) for i, s in enumerate(table["source"])], "sid int, __source string")
     rows = rows.join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
@@ -127,7 +128,7 @@ def offsets(rows: DataFrame, table: pd.DataFrame) -> DataFrame:
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("sum"))
     before = F.sum("sum").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("sid", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    w = Window.partitionBy("sid", "bucket").orderBy("doc_id", "tie", "size")
+    w = Window.partitionBy("sid", "bucket").orderBy(*first, "doc_id", "tie", "size")
     placed = rows.withColumns(
         {
             "rank": F.row_number().over(w),
@@ -214,17 +215,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mix, in whole documents. A document is given out once for each epoch in which the
-    mix takes at least half of its words, so twice at most. Rows that share id, source, size and text share
-    their number of copies."""
+    """Pipeline stage: the mix, in whole documents. A source's documents come in pseudorandom order, again in each
+    epoch, and those whose middle lies before the source's goal are given out; so a source's words miss its goal by
+    half a document at most. Rows that share id, source, size and text share their number of copies."""
     rows = sized(docs)
     table = sources(rows)
     if not len(table):
         return docs
     own = ["doc_id", "source", "tie", "size"]
-    placed = offsets(rows, table)
-    got = taken(rows, table).where("epoch IS NOT NULL AND 2 * taken >= size").groupBy("sid", "bucket", "rank").agg(F.count("*").alias("copies"))
-    copies = placed.join(got, ["sid", "bucket", "rank"]).select(*[F.col(c).alias(f"__{c}") for c in own], "rank", "copies")
+    placed = offsets(rows, table, F.xxhash64("tie", "doc_id", F.lit(SEED)))
+    goals = [(i, g // n if n else 0, g % n if n else 0) for i, (n, g) in enumerate(zip(table["size"].astype(int).tolist(), table["goal"].astype(int).tolist(), strict=True))]
+    goals = spark.createDataFrame(goals, "sid int, epochs long, rest long")
+    number = F.col("epochs") + (2 * F.col("start") + F.col("size") <= 2 * F.col("rest")).cast("long")
+    copies = placed.join(F.broadcast(goals), "sid").where("size > 0").withColumn("copies", number).where("copies > 0")
+    copies = copies.select(*[F.col(c).alias(f"__{c}") for c in own], "copies")
     copies = copies.groupBy(*[f"__{c}" for c in own]).agg(F.sum("copies").alias("__copies"))
     keyed = docs.withColumns({"__t": F.xxhash64("text")})
     on = keyed["doc_id"].eqNullSafe(copies["__doc_id"]) & (keyed["__t"] == copies["__tie"]) & keyed["source"].eqNullSafe(copies["__source"])
