@@ -171,3 +171,25 @@ def test_a_document_that_decodes_to_another_text_does_not_round_trip(spark, monk
     monkeypatch.setattr(pieces, "assembled", lambda *a: right(*a).withColumn("ids", F.reverse("ids")))
     df = spark.createDataFrame([(1, "the end of it"), (2, "")], "doc_id long, text string")
     assert {r.doc_id: r.round_trip for r in pieces.digest(df, pieces.load()).collect()} == {1: False, 2: True}
+
+
+def test_ann_of_small_tables_finds_all_rows(spark):
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(10, 16)))]
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), 20).collect()
+        assert sorted((r.query_id, r.vec_id) for r in got) == [(a, b) for a in range(10) for b in range(10) if a != b]
+
+
+def test_ann_of_scattered_queries_among_clusters(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 32))
+    tight = centres[rng.integers(0, 20, 1840)] + 0.05 * rng.normal(size=(1840, 32))
+    x = np.vstack([tight, rng.normal(size=(160, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x[rng.permutation(2000)])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 20).collect()
+    recall = []
+    for q, true in brute(rows, range(0, 2000, 10), 20).items():
+        recall.append(len({r.vec_id for r in got if r.query_id == q} & {i for i, _ in true}) / 20)
+    assert len(got) == 200 * 20 and min(recall) >= 0.5 and np.mean(recall) >= 0.9

@@ -7,7 +7,10 @@ projections and the similarity that neighbours have; buckets are visited in fall
 until it sums up to the wanted success. All vectors of the visited buckets are compared exactly, in double
 precision, and the tables' candidates are merged.
 
-The neighbours' similarity is measured, not assumed: CALIBRATION queries are compared with all rows.
+The first round takes the similarity measured on CALIBRATION queries, which are compared with all rows. After each
+round every query is judged by its own k-th score so far: it goes on through the buckets that the estimate for this
+score still wants, and through all the remaining ones if it has fewer than k rows. So the first round's similarity
+only fixes costs.
 Buckets are dealt to shards by hash; a bucket with more than BUCKET_ROWS rows is split, so that many copies of
 one vector are spread. Each task compares one block of queries with one shard and returns a top list.
 
@@ -38,6 +41,8 @@ SHARD_ROWS = 16_384
 BUCKET_ROWS = 4_096
 QUERY_BLOCK = 4_096
 SEED = 3
+#: In place of a similarity: all buckets are visited.
+EVERYWHERE = -2.0
 
 
 @dataclass(frozen=True)
@@ -70,10 +75,11 @@ class Hashes:
         slot = (self.projections(self.points(x))[..., None] >= self.edges[:, None]).sum(-1)
         return (slot * SLOTS ** np.arange(FUNCTIONS)).sum(-1)
 
-    def chances(self, x: np.ndarray, similarity: float) -> np.ndarray:
+    def chances(self, x: np.ndarray, similarity: float | np.ndarray) -> np.ndarray:
         """(tables, n, buckets): the chance that a neighbour of each query lies in a bucket."""
         t = self.projections(self.queries(x))
-        spread = math.sqrt(max(1e-6, 1 - similarity * similarity))
+        similarity = np.broadcast_to(np.clip(similarity, -0.99, 0.99), len(x))[:, None, None]
+        spread = np.sqrt(np.maximum(1e-6, 1 - similarity * similarity))
         below = np.vectorize(math.erf, otypes=[float])((self.edges[:, None] - similarity * t[..., None]) / (spread * math.sqrt(2)))
         cdf = np.concatenate([np.zeros((*t.shape, 1)), (1 + below) / 2, np.ones((*t.shape, 1))], axis=-1)
         p = np.diff(cdf, axis=-1)
@@ -82,16 +88,27 @@ class Hashes:
             out = (p[:, :, k][..., None] * out[..., None, :]).reshape(*out.shape[:2], -1)
         return out
 
-    def probes(self, x: np.ndarray, similarity: float, success: float = SUCCESS) -> np.ndarray:
+    def probes(self, x: np.ndarray, similarity: float | np.ndarray, success: float = SUCCESS) -> np.ndarray:
         """(tables, n, buckets) of bool: those visited, by falling chance, until the tables together reach
-        ``success``."""
+        ``success``. A similarity, of all queries or of each, of EVERYWHERE visits all buckets."""
         chance = self.chances(x, similarity)
         order = np.argsort(-chance, axis=-1, kind="stable")
         total = np.take_along_axis(chance, order, -1).cumsum(-1)
         visit = total - np.take_along_axis(chance, order, -1) < 1 - (1 - success) ** (1 / TABLES)
         out = np.zeros(chance.shape, dtype=bool)
         np.put_along_axis(out, order, visit, -1)
-        return out
+        return out | (np.broadcast_to(similarity, len(x)) == EVERYWHERE)[:, None]
+
+    def left(self, x: np.ndarray, past: list[np.ndarray], now: np.ndarray, success: float = SUCCESS) -> np.ndarray:
+        """Like ``probes``: what each query must still visit for ``now`` after its rounds of similarities ``past``. Nothing
+        in a table whose visited buckets reach the success by themselves."""
+        visited = np.zeros((TABLES, len(x), SLOTS**FUNCTIONS), dtype=bool)
+        for i in range(max(map(len, past), default=0)):
+            who = np.array([r for r, p in enumerate(past) if len(p) > i])
+            visited[:, who] |= self.probes(x[who], np.array([past[r][i] for r in who]), success)
+        reached = (self.chances(x, now) * visited).sum(-1) >= 1 - (1 - success) ** (1 / TABLES)
+        reached &= now != EVERYWHERE
+        return self.probes(x, now, success) & ~visited & ~reached[..., None]
 
 
 def vectors(df: DataFrame) -> DataFrame:
@@ -167,26 +184,34 @@ def search(df: DataFrame, is_query, k: int = 20, success: float = SUCCESS) -> Da
     shards = max(1, -(-sum(counts.values()) // (TABLES * SHARD_ROWS)))
     parts = [(t, b, p) for (t, b), n in sorted(counts.items()) for p in range(-(-n // BUCKET_ROWS))]
     place = spark.createDataFrame([(t, b, p, i % shards, -(-counts[t, b] // BUCKET_ROWS)) for i, (t, b, p) in enumerate(parts)], "table int, bucket int, part int, shard int, parts int")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     split = index.join(F.broadcast(place.select("table", "bucket", "parts").distinct()), ["table", "bucket"])
     split = split.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
     data = split.join(F.broadcast(place.drop("parts")), ["table", "bucket", "part"])
-    data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("table", "shard", "block", "bucket", "vec_id", "v")
     of = {(t, s): sorted({b for i, (u, b, _) in enumerate(parts) if u == t and i % shards == s}) for t in range(TABLES) for s in range(shards)}
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
-                probes = hashes.probes(matrix(part["v"]), similarity, success)
+                probes = hashes.left(matrix(part["v"]), list(part["past"]), part["now"].to_numpy(), success)
                 for (t, s), own in of.items():
                     visit = [np.array(own)[row].tolist() for row in probes[t][:, own]]
-                    out = part.assign(table=t, shard=s, visit=visit)
+                    out = part[["block", "vec_id", "v"]].assign(table=t, shard=s, visit=visit)
                     yield out[[len(x) > 0 for x in visit]][["table", "shard", "block", "vec_id", "v", "visit"]]
 
-    asked = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.repartition(max(1, blocks * 2)) if blocks > 1 else asked
-    asked = asked.mapInPandas(probed, "table int, shard int, block int, vec_id long, v array<double>, visit array<int>")
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The queries that are not done, with the similarity of their next round."""
+        occupied = np.zeros((TABLES, 1, SLOTS**FUNCTIONS), dtype=bool)
+        for t, b in counts:
+            occupied[t, 0, b] = True
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                x, past = matrix(part["v"]), [np.append(p, n) for p, n in zip(part["past"], part["now"], strict=True)]
+                now = np.clip(part["kth"].to_numpy(dtype=float) / (np.linalg.norm(x, axis=1) * norm), -0.99, 0.99)
+                now = np.where(part["found"].to_numpy() < k, EVERYWHERE, now)
+                more = (hashes.left(x, past, now, success) & occupied).any(axis=(0, 2))
+                yield part[["vec_id", "v"]].assign(past=past, now=now)[more]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "vec_id", "score"]
@@ -213,11 +238,33 @@ def search(df: DataFrame, is_query, k: int = 20, success: float = SUCCESS) -> Da
         real = np.isfinite(top_s)
         return pd.DataFrame(dict(zip(names, (np.repeat(qid, k).reshape(-1, k)[real], top_i[real], top_s[real]), strict=True)))
 
-    keys = ["table", "shard", "block"]
-    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    keys, state = ["table", "shard", "block"], "vec_id long, v array<double>, past array<double>, now double"
+    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def asking(queries: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score): the best of the buckets that ``queries`` (of ``state``) visit now."""
+        blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+        asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+        asked = asked.repartition(max(1, blocks * 2)) if blocks > 1 else asked
+        asked = asked.mapInPandas(probed, "table int, shard int, block int, vec_id long, v array<double>, visit array<int>")
+        held = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, "bucket", "vec_id", "v")
+        return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return cut(merged.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k))
+
+    pending = queries.select("vec_id", "v", F.array().cast("array<double>").alias("past"), F.lit(similarity).alias("now"))
+    names = ["query_id", "vec_id", "score"]
+    found = ranked(asking(pending))
+    # Each round visits buckets that its queries have not seen, so the rounds end.
+    while True:
+        so_far = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("found"), F.min("score").alias("kth"))
+        waiting = pending.join(so_far, "vec_id", "left").fillna(0, ["found"]).fillna(0.0, ["kth"])
+        pending = cut(waiting.mapInPandas(judged, state))
+        if pending.isEmpty():
+            return found.select("query_id", "rank", "vec_id", "score")
+        found = ranked(found.select(*names).unionByName(asking(pending)))
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
