@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecmill.functions import bits as B, hadamard as H, probability as P, vectors as V
-from vecmill.operators import cross_polytope as X, exact, prefix_join as J, search as S
+from vecmill.operators import cross_polytope as X, exact, metrics, prefix_join as J, search as S
 from vecmill.operators.index import IndexMismatch, LshIndex
 from vecmill.operators.simhash import SimHash, SimHashBuilder
 from vecmill.plans import catalog
-from vecmill.sources.vectors import ANGULAR, EUCLIDEAN, VectorTable, ground_truth
+from vecmill.sources.vectors import ANGULAR, EUCLIDEAN, Metric, VectorTable, ground_truth, queries_of
 
 
 def one(spark, *columns):
@@ -27,7 +27,7 @@ def table_of(spark, n=200, d=16, seed=0, metric=ANGULAR):
 def test_every_query_equals_its_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
-    for name in ("scan_vectors", "norms", "knn_angular", "range_euclidean", "mips_top1", "index_build", "collision_range", "hadamard", "ceo_single", "dataset_fingerprint", "nested_pairs", "pstable_prob", "adaptive_search"):
+    for name in catalog.SQL:
         got = catalog.QUERIES[name](spark, sf_dir).toPandas()
         want = con.execute(catalog.SQL[name]).df()[got.columns]
         keys = list(got.columns)
@@ -183,6 +183,90 @@ def test_index_round_trip_and_mismatch(spark, tmp_path):
         LshIndex.build(VectorTable.from_arrays(spark, [[1.0, 2.0]], EUCLIDEAN), SimHash(2))
 
 
+def test_cross_polytope_index_round_trip_and_search(spark, tmp_path):
+    table, x = table_of(spark, n=120, d=12)
+    hasher = X.CrossPolytopeHash(12, 3, 4)
+    index = LshIndex.build_cached(spark, table, hasher, str(tmp_path))
+    assert index.same(LshIndex.build_cached(spark, table, hasher, str(tmp_path)))
+    packed = {(r.vec_id, r.rep): r.hash for r in index.df.collect()}
+    for rep in range(4):
+        for r in hasher.family(rep).hash(table.df).collect():
+            assert packed[r.vec_id, rep] == (r.symbols[0] << 10) + (r.symbols[1] << 5) + r.symbols[2]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for k, delta in ((1, 0.1), (4, 0.3)):
+        got = S.search(index, table.df.where("vec_id < 4"), k, delta).orderBy("qid", "rank").collect()
+        for q in range(4):
+            ids, prefix, rep, visits = by_symbols(u, q, packed, hasher, k, delta)
+            own = [r for r in got if r.qid == q]
+            assert [r.vec_id for r in own] == ids and {(r.stop_prefix, r.stop_rep, r.collisions) for r in own} == {(prefix, rep, visits)}
+    chance = one(spark, *[hasher.collision_probability(F.lit(d)) for d in (0.0, 0.35, 2.0)])
+    assert np.allclose(list(chance), hasher.probability(np.array([0.0, 0.35, 2.0])))
+    with pytest.raises(ValueError):
+        X.CrossPolytopeHash(64, 9)
+    with pytest.raises(ValueError):
+        LshIndex.build(VectorTable.from_arrays(spark, [[1.0, 2.0]], EUCLIDEAN), X.CrossPolytopeHash(2))
+
+
+def by_symbols(u, q, packed, family, k, delta):
+    d = np.array([round(float(v), 6) for v in 1 - u @ u[q]])
+    symbols = lambda h: [h >> family.unit * (family.bits - 1 - f) & ((1 << family.unit) - 1) for f in range(family.bits)]
+    shared = {(i, r): next((f for f, (a, b) in enumerate(zip(symbols(packed[i, r]), symbols(packed[q, r]), strict=True)) if a != b), family.bits) for i in range(len(u)) for r in range(family.reps)}
+    seen, visits = set(), 0
+    for prefix in range(family.bits, -1, -1):
+        for rep in range(family.reps):
+            new = [i for i in range(len(u)) if shared[i, rep] == prefix]
+            visits += len(new)
+            seen.update(new)
+            best = sorted((d[i], i) for i in seen)[:k]
+            if len(best) == k:
+                p = float(family.probability(np.array([best[-1][0]]))[0])
+                if (1 - p**prefix) ** (rep + 1) * ((1 - p ** (prefix + 1)) ** (family.reps - rep - 1) if prefix < family.bits else 1) < delta:
+                    return [i for _, i in best], prefix, rep + 1, visits
+    return [i for _, i in best], 0, family.reps, visits
+
+
+def test_recall_of_the_adaptive_search(spark):
+    table, q = queries_of(spark, "/root/testdata/sf0.1")
+    index = LshIndex.build(table, SimHashBuilder(table.num_dimensions(), 32).build_vec(64))
+    found = S.search(index, q, 10, 0.1)
+    assert metrics.mean_recall(metrics.recall_by_ids(exact.knn(table, q, 10), found)).first()["recall"] >= 0.9
+
+
+def test_metric_of_the_callers_own(spark):
+    total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    manhattan = Metric("manhattan", lambda v: v, lambda a, b, aa, bb: total(a, b))
+    table, x = table_of(spark, n=80, metric=manhattan)
+    for r in exact.knn(table, table.df.where("vec_id < 5"), 1 + 3).where("rank > 1").collect():
+        assert abs(r.d - np.sort(np.abs(x - x[r.qid]).sum(1))[r["rank"] - 1]) < 1e-6
+    with pytest.raises(ValueError):
+        LshIndex.build(table, SimHash(16))
+    with pytest.raises(ValueError):
+        table_of(spark, metric="cosine?")
+
+
+def test_filters_of_two_caps(spark):
+    """The distance to where two caps meet, against a search along the first cap's edge."""
+    for inner, a, b in ((0.3, 1.0, 1.0), (0.8, 2.0, 0.5), (-0.4, 1.5, 1.2)):
+        across = np.linspace(-20, 20, 400_001)
+        meets = np.abs(a * inner + across * np.sqrt(1 - inner * inner) - b).argmin()
+        got = one(spark, P.squared_reach(F.lit(inner), F.lit(a), F.lit(b)))[0]
+        assert abs(got - (a * a + across[meets] ** 2)) < 1e-2
+
+
+def test_throughput_and_order_by_recall(spark):
+    seconds, rate = metrics.throughput(lambda: spark.range(10), 10)
+    assert seconds > 0 and rate == 10 / seconds
+    rows = metrics.by_recall(spark.createDataFrame([(1, 0.5), (2, 0.1), (3, 0.5)], "qid long, recall double")).collect()
+    assert [(r.place, r.qid) for r in sorted(rows)] == [(1, 2), (2, 1), (3, 3)]
+
+
+def test_single_precision_transform_stays_single():
+    x = np.random.default_rng(0).standard_normal((3, 256), dtype=np.float32)
+    got = H.butterfly(x)
+    assert got.dtype == np.float32 and np.allclose(got, H.butterfly(x.astype(np.float64)), atol=1e-3)
+    assert H.butterfly(x[:, :1]).tolist() == x[:, :1].tolist()
+
+
 def test_pairs_of_buckets(spark):
     rng = random.Random(3)
     rows = [(r, rng.getrandbits(6), i) for r in range(2) for i in range(40)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,9 @@ def check_length(n: int) -> None:
         raise ValueError(f"the length must be a power of two up to 2^30, not {n}")
 
 
-def sign_matrix(n: int) -> np.ndarray:
-    out = np.ones((1, 1))
+@lru_cache(maxsize=32)
+def sign_matrix(n: int, kind: str = "d") -> np.ndarray:
+    out = np.ones((1, 1), dtype=kind)
     while len(out) < n:
         out = np.block([[out, out], [out, -out]])
     return out
@@ -25,13 +27,15 @@ def sign_matrix(n: int) -> np.ndarray:
 
 def butterfly(x: np.ndarray, radix: int = 5) -> np.ndarray:
     """Transforms the last axis, whole batches at a time: ``radix`` levels of the butterfly are one product with a
-    small sign matrix, so the work is n log n and each pass over the data does several levels."""
+    small sign matrix, so the work is n log n and each pass over the data does several levels. Single precision stays
+    single, all else is double."""
     n = x.shape[-1]
     check_length(n)
-    out, h, left = x.astype(np.float64).reshape(-1, n), 1, n.bit_length() - 1
+    kind = np.float32 if x.dtype == np.float32 else np.float64
+    out, h, left = x.astype(kind, copy=n == 1).reshape(-1, n), 1, n.bit_length() - 1
     while left:
         m = 1 << min(radix, left)
-        signs = sign_matrix(m)
+        signs = sign_matrix(m, out.dtype.char)
         out = out.reshape(-1, m) @ signs if h == 1 else signs @ out.reshape(-1, m, h)
         h, left = h * m, left - min(radix, left)
     return out.reshape(x.shape)

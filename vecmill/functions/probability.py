@@ -68,12 +68,20 @@ def rank_swap(dims: Column, s: Column, tau1: Column, tau2: Column) -> Column:
     return F.pow(dims, -s * (tau1 - tau2) / (sigma * sigma))
 
 
+def squared_reach(inner: Column, first: Column, second: Column) -> Column:
+    """Squared distance from the origin to where two caps meet: the caps at heights ``first`` and ``second`` along two
+    unit vectors with this inner product. The meeting point is first * u + x * w with w the part of the second vector
+    across the first one, and its height on the second vector gives x = (second - first * inner) / |w|, |w|^2 = 1 - inner^2."""
+    across = (second - first * inner) / F.sqrt(1 - inner * inner)
+    return first * first + across * across
+
+
 def filter_near(alpha: Column, lam: Column, t: Column) -> Column:
-    """Lower bound of the chance that a locality-sensitive filter keeps a near pair."""
-    d = (1 + F.pow(F.pow(alpha, lam) - alpha, 2) / (1 - alpha * alpha)) * t * t
-    return F.exp(-d / 2) / (2 * math.pi * F.pow(1 + t / alpha, 2))
+    """Lower bound of the chance that a locality-sensitive filter with heights t and alpha^lam * t keeps a pair at inner
+    product ``alpha``: a two-dimensional normal tail beyond the point where both caps meet."""
+    return F.exp(squared_reach(alpha, t, F.pow(alpha, lam) * t) / -2) / (2 * math.pi * F.pow(1 + t / alpha, 2))
 
 
 def filter_far(alpha: Column, beta: Column, lam: Column, t: Column) -> Column:
-    d = (1 + F.pow(F.pow(alpha, lam) - beta, 2) / (1 - beta * beta)) * t * t
-    return F.exp(-d / 2)
+    """Upper bound of the chance that it keeps a pair at inner product ``beta``."""
+    return F.exp(squared_reach(beta, t, F.pow(alpha, lam) * t) / -2)

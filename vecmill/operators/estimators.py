@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from vecmill.functions.probability import concomitant_scale
 from vecmill.operators.simhash import gaussian
 
+SPREAD = 8
+
 
 def projection(dims: int, out: int, seed: int = 7) -> np.ndarray:
     return np.array([[gaussian(f"projection{seed}", j, d) for d in range(dims)] for j in range(out)])
@@ -35,7 +37,7 @@ def profile(projected: DataFrame) -> DataFrame:
 
 def extremes(projected: DataFrame, queries: DataFrame, s: int) -> DataFrame:
     """(qid, j, sign): the s projections on which a query is largest (+1) and smallest (-1)."""
-    own = projected.join(F.broadcast(queries.select("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), "j", F.round("x", 6).alias("x"))
+    own = projected.join(queries.select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), "j", F.round("x", 6).alias("x"))
     up, down = Window.partitionBy("qid").orderBy(F.desc("x"), "j"), Window.partitionBy("qid").orderBy("x", "j")
     top = own.withColumns({"a": F.row_number().over(up), "b": F.row_number().over(down)})
     return top.where(F.col("a") <= s).select("qid", "j", F.lit(1.0).alias("sign")).unionByName(top.where(F.col("b") <= s).select("qid", "j", F.lit(-1.0).alias("sign")))
@@ -47,7 +49,10 @@ def estimate(projected: DataFrame, queries: DataFrame, dims: int, s: int | None
     picked = extremes(projected, queries, s or 1)
     if s is None:
         picked = picked.where("sign > 0")
-    met = projected.join(F.broadcast(picked), "j")
+    # Few projections hold all rows each: rows and picks are spread over more keys than that.
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(SPREAD))
+    picked = picked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    met = projected.withColumn("part", spread("vec_id")).join(picked, ["j", "part"])
     scale = concomitant_scale(dims) * (1 if s is None else 2 * s)
     return met.groupBy("qid", "vec_id").agg((F.round(F.sum(F.col("sign") * F.col("x")) / scale, 6) + F.lit(0.0)).alias("estimate"))
 

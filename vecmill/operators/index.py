@@ -1,36 +1,64 @@
-"""LSH index tables, and their persistence as Parquet with a manifest."""
+"""LSH index tables over any family of hash functions, and their persistence as Parquet with a manifest."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 
+from vecmill.operators.cross_polytope import CrossPolytopeHash
 from vecmill.operators.simhash import SimHash
-from vecmill.sources.vectors import ANGULAR, VectorTable
+from vecmill.sources.vectors import VectorTable
 
 
 class IndexMismatch(ValueError):
     """The stored index belongs to other data or hashers."""
 
 
+class HashFamily(Protocol):
+    """What an index needs of hash functions: ``reps`` hashes of ``bits`` functions each, of ``unit`` bits, packed with
+    the first function highest; the metrics they are for; and the chance that one function agrees at a distance."""
+
+    bits: int
+    reps: int
+    unit: int
+    metrics: tuple[str, ...]
+
+    def hash(self, df: DataFrame) -> DataFrame: ...
+
+    def collision_probability(self, distance: Column) -> Column: ...
+
+    def probability(self, distance: np.ndarray) -> np.ndarray: ...
+
+    def spec(self) -> dict: ...
+
+    def fingerprint(self) -> str: ...
+
+
+#: How a family is made again from its ``spec``; other families can be added.
+FAMILIES: dict[str, Callable[..., HashFamily]] = {"simhash": SimHash, "cross-polytope": CrossPolytopeHash}
+
+
 @dataclass(frozen=True)
 class LshIndex:
     """``df`` has rep, hash and vec_id."""
 
     data: VectorTable
-    hasher: SimHash
+    hasher: HashFamily
     df: DataFrame
 
     @staticmethod
-    def build(data: VectorTable, hasher: SimHash) -> "LshIndex":
-        if data.metric != ANGULAR:
-            raise ValueError("sign hashes need the angular metric; use p-stable hashing for Euclidean data")
+    def build(data: VectorTable, hasher: HashFamily) -> "LshIndex":
+        if data.metric not in hasher.metrics:
+            raise ValueError(f"these hashes are for the metrics {hasher.metrics}, not {data.metric}")
         return LshIndex(data, hasher, hasher.hash(data.df))
 
     def manifest(self) -> dict:
-        return {"data": self.data.fingerprint(), "hasher": self.hasher.fingerprint(), "dims": self.hasher.dims, "bits": self.hasher.bits, "reps": self.hasher.reps, "seed": self.hasher.seed}
+        return {"data": self.data.fingerprint(), "hasher": self.hasher.fingerprint(), "spec": self.hasher.spec()}
 
     def save(self, path: str) -> None:
         """Sorted by hash within each repetition, so that readers skip row groups. The manifest is written last:
@@ -45,13 +73,14 @@ class LshIndex:
         stored = json.loads(spark.read.text(f"{path}/manifest").first()[0])
         if stored["data"] != data.fingerprint():
             raise IndexMismatch("the index was built over other data")
-        hasher = SimHash(stored["dims"], stored["bits"], stored["reps"], stored["seed"])
+        spec = dict(stored["spec"])
+        hasher = FAMILIES[spec.pop("family")](**spec)
         if stored["hasher"] != hasher.fingerprint():
             raise IndexMismatch("the index was built with other hashers")
         return LshIndex(data, hasher, spark.read.parquet(f"{path}/table").select("rep", "hash", "vec_id"))
 
     @staticmethod
-    def build_cached(spark: SparkSession, data: VectorTable, hasher: SimHash, folder: str) -> "LshIndex":
+    def build_cached(spark: SparkSession, data: VectorTable, hasher: HashFamily, folder: str) -> "LshIndex":
         """Reads the index from ``folder`` if one of this data and hasher is there, else builds and writes it."""
         path = f"{folder}/{data.fingerprint()}-{hasher.fingerprint()}"
         try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 SLACK = 1e-6
 
@@ -29,12 +29,22 @@ def mean_recall(recalls: DataFrame) -> DataFrame:
     return recalls.agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("n_queries"))
 
 
-def range_statistics(found: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(qid, total, visited, true_positives, false_positives, at_least_one_collision)"""
+def range_statistics(found: DataFrame, counts: DataFrame, total: int, probability: float, bound: float) -> DataFrame:
+    """(qid, total, visited, true_positives, false_positives, at_least_one_collision, threshold_probability,
+    threshold_probability_bound): the last two are the chance that a point at the range collides in a table, and the
+    share of tables that the count threshold asks for, which allows for the deviation of so many tables."""
     one = counts.groupBy("qid").agg(F.count("*").alias("at_least_one_collision"))
     got = found.groupBy("qid").agg(F.count("*").alias("visited"), F.count_if("hit").alias("true_positives"), F.count_if(~F.col("hit")).alias("false_positives"))
     zero = {c: 0 for c in ("visited", "true_positives", "false_positives")}
-    return one.join(got, "qid", "left").fillna(zero).withColumn("total", F.lit(total).cast("long"))
+    out = one.join(got, "qid", "left").fillna(zero).withColumn("total", F.lit(total).cast("long"))
+    return out.withColumns({"threshold_probability": F.lit(round(probability, 6)), "threshold_probability_bound": F.lit(round(bound, 6))})
+
+
+def by_recall(recalls: DataFrame) -> DataFrame:
+    """(place, qid, recall): the worst answered queries first, with their places from 1. Queries are few and take part in
+    one order, so one task numbers them."""
+    order = Window.orderBy("recall", "qid")
+    return recalls.select(F.row_number().over(order).alias("place"), "qid", "recall")
 
 
 def throughput(run: Callable[[], DataFrame], n_queries: int) -> tuple[float, float]:

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vecmill.functions import bits as B
 
+KEYS = 64
+
 
 def query_hashes(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, rep, qhash)"""
-    ids = queries.select("vec_id")
-    return index.join(F.broadcast(ids), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), "rep", F.col("hash").alias("qhash"))
+    return index.join(queries.select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), "rep", F.col("hash").alias("qhash"))
+
+
+def shared(a: Column, b: Column, functions: int, unit: int = 1) -> Column:
+    """Leading functions, of ``unit`` bits each, on which two hashes agree."""
+    return F.floor(B.lcp(a, b, functions * unit) / unit).cast("int")
 
 
-def collisions(index: DataFrame, hashed: DataFrame, prefix: int, bits: int, below: int | None = None) -> DataFrame:
-    """(qid, vec_id, rep, lcp) of rows that share ``prefix`` leading bits with the query in a repetition, and
-    fewer than ``below`` if given: an equi-join on (rep, prefix)."""
-    a = hashed.withColumn("key", B.prefix_key(F.col("qhash"), prefix, bits))
-    b = index.select("rep", "hash", "vec_id", B.prefix_key(F.col("hash"), prefix, bits).alias("key"))
-    met = b.join(a, ["rep", "key"]).select("qid", "vec_id", "rep", B.lcp(F.col("hash"), F.col("qhash"), bits).alias("lcp"))
+def collisions(index: DataFrame, hashed: DataFrame, prefix: int, bits: int, below: int | None = None, unit: int = 1, hashes: bool = False) -> DataFrame:
+    """(qid, vec_id, rep, lcp) of rows that share the ``prefix`` leading of ``bits`` functions with the query in a
+    repetition, and fewer than ``below`` if given, with both hashes if asked: an equi-join on (rep, prefix). Short prefixes have few keys that hold
+    many rows each, so rows and queries are spread over KEYS keys or more."""
+    spread = F.lit(-(-KEYS >> min(prefix * unit, 30)) or 1).cast("long")
+    a = hashed.withColumn("key", B.prefix_key(F.col("qhash"), prefix * unit, bits * unit)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), spread - 1)))
+    b = index.select("rep", "hash", "vec_id", B.prefix_key(F.col("hash"), prefix * unit, bits * unit).alias("key"), F.pmod(F.xxhash64("vec_id"), spread).alias("part"))
+    met = b.join(a, ["rep", "key", "part"]).select("qid", "vec_id", "rep", *(["hash", "qhash"] if hashes else []), shared(F.col("hash"), F.col("qhash"), bits, unit).alias("lcp"))
     return met if below is None else met.where(F.col("lcp") < below)
 
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vecmill.functions import probability
+from vecmill.sources.vectors import ANGULAR
 
 
 def gaussian(tag: str, *key: int) -> float:
@@ -32,6 +33,10 @@ class SimHash:
     reps: int = 1
     seed: int = 1234
 
+    #: Bits of a function, and the metrics whose distances ``probability`` takes.
+    unit = 1
+    metrics = (ANGULAR,)
+
     def __post_init__(self) -> None:
         if self.dims < 1 or self.reps < 1 or not 1 <= self.bits <= 32:
             raise ValueError("dims and reps must be 1 or more, bits 1 to 32")
@@ -46,6 +51,9 @@ class SimHash:
         rows = [(r, f, d.tolist()) for r, fs in enumerate(self.directions) for f, d in enumerate(fs)]
         return spark.createDataFrame(rows, "rep int, func int, dir array<double>")
 
+    def spec(self) -> dict:
+        return {"family": "simhash", "dims": self.dims, "bits": self.bits, "reps": self.reps, "seed": self.seed}
+
     def fingerprint(self) -> str:
         return hashlib.sha256(repr((self.dims, self.bits, self.reps, self.seed)).encode() + self.directions.tobytes()).hexdigest()
 
@@ -74,6 +82,10 @@ class SimHash:
     def collision_probability(self, distance: Column) -> Column:
         return probability.simhash_collision(distance)
 
+    def probability(self, distance: np.ndarray) -> np.ndarray:
+        """The same of an array of distances."""
+        return 1 - np.arccos(np.clip(1 - distance, -1, 1)) / math.pi
+
 
 class SimHashBuilder:
     """Draws independent hashes with one seed each."""

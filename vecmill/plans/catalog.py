@@ -5,6 +5,7 @@ Searches take as queries the rows whose id is divisible by 100, against all rows
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,12 +14,13 @@ from vecmill.functions import bits as B, hadamard as H, probability as P, vector
 from vecmill.operators import cross_polytope as X, estimators as E, exact, metrics, prefix_join as J, search as S
 from vecmill.operators.index import LshIndex
 from vecmill.operators.simhash import SimHash, SimHashBuilder
-from vecmill.sources.vectors import ANGULAR, EUCLIDEAN, VectorTable, fingerprint_frame, ground_truth, queries_of
+from vecmill.sources.durable import shared_dir
+from vecmill.sources.vectors import ANGULAR, EUCLIDEAN, Metric, VectorTable, fingerprint_frame, ground_truth, queries_of
 
 BITS, REPS, K, DELTA = 16, 8, 10, 0.1
 RANGE_BITS, RANGE_REPS, RANGE_SIM = 4, 24, 0.3
 PREFIX = 6
-PROJECTIONS = 128
+PROJECTIONS = 1024
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,8 +116,8 @@ def norms(spark, sf_dir):
 @query("dot_pairs", f"WITH {BASE} SELECT q.vec_id AS qid, r.vec_id AS vec_id, round(list_dot_product(q.v, r.v), 6) + 0.0 AS product FROM n q, n r WHERE q.vec_id % 100 = 0")
 def dot_pairs(spark, sf_dir):
     table, q = queries_of(spark, sf_dir, EUCLIDEAN)
-    q = F.broadcast(q.select(F.col("vec_id").alias("qid"), F.col("v").alias("qv")))
-    return table.df.join(q, F.lit(True)).select("qid", "vec_id", V.rounded(V.dot(F.col("v"), F.col("qv"))).alias("product"))
+    q = q.select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
+    return exact.crossed(table.df, q).select("qid", "vec_id", V.rounded(V.dot(F.col("v"), F.col("qv"))).alias("product"))
 
 
 @query("angular_distance", f"WITH {BASE} SELECT * FROM ap")
@@ -259,7 +261,7 @@ FROM h q JOIN h p ON q.rep = p.rep WHERE q.vec_id % 100 = 0 GROUP BY ALL""",
 )
 def empirical_collision(spark, sf_dir):
     index, q = index_of(spark, sf_dir)
-    met = index.df.join(F.broadcast(J.query_hashes(index.df, q)), "rep")
+    met = J.collisions(index.df, J.query_hashes(index.df, q), 0, BITS, hashes=True)
     agree = F.lit(BITS) - F.bit_count(F.col("hash").bitwiseXOR(F.col("qhash")))
     return met.groupBy("qid", "vec_id").agg(F.round(F.sum(agree) / (BITS * REPS), 6).alias("rate"))
 
@@ -335,13 +337,14 @@ def collision_range(spark, sf_dir):
 @query(
     "collision_range_stats",
     f"""WITH {COUNTS}, {FOUND}, g AS (SELECT qid, count(*) AS visited, count_if(similarity >= {RANGE_SIM}) AS tp, count_if(similarity < {RANGE_SIM}) AS fp FROM found GROUP BY qid)
-SELECT c.qid, (SELECT count(*) FROM u) AS total, coalesce(visited, 0) AS visited, coalesce(tp, 0)::BIGINT AS true_positives, coalesce(fp, 0)::BIGINT AS false_positives, c.n AS at_least_one_collision
+SELECT c.qid, (SELECT count(*) FROM u) AS total, coalesce(visited, 0) AS visited, coalesce(tp, 0)::BIGINT AS true_positives, coalesce(fp, 0)::BIGINT AS false_positives, c.n AS at_least_one_collision,
+    round(power(1 - acos({RANGE_SIM}) / pi(), {RANGE_BITS}), 6) AS threshold_probability, round({BOUND}, 6) AS threshold_probability_bound
 FROM (SELECT qid, count(*) AS n FROM counts GROUP BY qid) c LEFT JOIN g USING (qid)""",
 )
 def collision_range_stats(spark, sf_dir):
     index, q = index_of(spark, sf_dir, RANGE_BITS, RANGE_REPS)
     found = S.collision_range(index, q, RANGE_SIM, DELTA)
-    return metrics.range_statistics(found, S.collision_counts(index, q), index.data.num_points())
+    return metrics.range_statistics(found, S.collision_counts(index, q), index.data.num_points(), *S.collision_threshold(index, RANGE_SIM, DELTA))
 
 
 @query(
@@ -411,11 +414,77 @@ def cross_polytope_hash(spark, sf_dir):
     return X.CrossPolytope(table.num_dimensions()).hash(table.df).select("vec_id", F.get("symbols", 0).alias("symbol"))
 
 
-@query("cross_polytope_prob")
+PAIRS = f"""g AS (SELECT k, list(a ORDER BY d) AS p, list(b ORDER BY d) AS o FROM (SELECT k, d, {gauss('pair1234', '0', 'k', 'd')} AS a, {gauss('pair1234', '1', 'k', 'd')} AS b
+    FROM range(10000) x(k), range(16) y(d)) GROUP BY k),
+t AS (SELECT i, p AS v0, list_transform(range(16), lambda j: round(i / 20::DOUBLE - 1, 9) * p[j + 1] + sqrt(greatest(0, 1 - round(i / 20::DOUBLE - 1, 9) * round(i / 20::DOUBLE - 1, 9))) * o[j + 1]) AS v1 FROM g, range(41) z(i)),
+m AS (SELECT i, v0, v1, list_position(list_transform(v0, lambda x: abs(x)), list_max(list_transform(v0, lambda x: abs(x)))) AS a0,
+    list_position(list_transform(v1, lambda x: abs(x)), list_max(list_transform(v1, lambda x: abs(x)))) AS a1 FROM t)"""
+
+
+@query("cross_polytope_prob", f"WITH {PAIRS} SELECT 16::INT AS dim, round(i / 20::DOUBLE - 1, 9) AS dotp, count_if(a0 = a1 AND (v0[a0] < 0) = (v1[a1] < 0)) / 10000::DOUBLE AS p FROM m GROUP BY i")
 def cross_polytope_prob(spark, sf_dir):
     return X.probabilities(spark, 16)
 
 
+def packed_sql(functions: int, rep: int) -> str:
+    """``hash`` of one repetition: the symbols of so many functions of 64 parts, 7 bits each."""
+    seed, parts = 1234 + rep, []
+    for f in range(functions):
+        parts.append(f"g{f} AS (SELECT r, list(s ORDER BY d) AS s FROM (SELECT r, d, CASE WHEN ('0x' || substr(md5(concat_ws(':', 'cross{seed}', {f}, r, d)), 1, 1))::INT % 2 = 1 THEN 1 ELSE -1 END AS s FROM range(3) a(r), range(64) b(d)) GROUP BY r)")
+        source = "u"
+        for r in range(3):
+            parts.append(turned_sql(source, f"f{f}_{r}_", r).replace(", sg WHERE", f", g{f} WHERE"))
+            source = f"f{f}_{r}_"
+        parts.append(f"x{f} AS ({AXIS.format(source=source)}), y{f} AS (SELECT vec_id, spot + CASE WHEN v[spot + 1] < 0 THEN 64 ELSE 0 END AS symbol FROM x{f})")
+    packed = " + ".join(f"(y{f}.symbol::BIGINT << {7 * (functions - 1 - f)})" for f in range(functions))
+    joins = "".join(f" JOIN y{f} USING (vec_id)" for f in range(1, functions))
+    return f"WITH {BASE}, {', '.join(parts)} SELECT {rep}::INT AS rep, ({packed})::BIGINT AS hash, y0.vec_id FROM y0{joins}"
+
+
+@query("cross_polytope_index", f"({packed_sql(2, 0)}) UNION ALL ({packed_sql(2, 1)})")
+def cross_polytope_index(spark, sf_dir):
+    table = unit(spark, sf_dir)
+    return LshIndex.build(table, X.CrossPolytopeHash(table.num_dimensions(), 2, 2)).df
+
+
+@query("index_saved", f"WITH {BASE}, {hashes_sql(BITS, REPS)} SELECT rep, hash, vec_id FROM h")
+def index_saved(spark, sf_dir):
+    """Built and saved, found again by data and hashers, and loaded."""
+    table = unit(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    hasher = family(table)
+    LshIndex.build_cached(spark, table, hasher, folder)
+    return LshIndex.build_cached(spark, table, hasher, folder).df
+
+
+@query("adaptive_search_cross_polytope")
+def adaptive_search_cross_polytope(spark, sf_dir):
+    """The adaptive search over cross-polytope hashes."""
+    table, q = queries_of(spark, sf_dir, ANGULAR)
+    index = LshIndex.build(table, X.CrossPolytopeHash(table.num_dimensions(), 2, REPS))
+    return S.search(index, q, K, DELTA).select("qid", "rank", "vec_id", "d")
+
+
+@query("custom_metric", f"WITH {BASE}, m AS (SELECT q.vec_id AS qid, r.vec_id AS vec_id, round(list_sum(list_transform(list_zip(q.v, r.v), lambda z: abs(z[1] - z[2]))), 6) + 0.0 AS d FROM n q, n r WHERE q.vec_id % 100 = 0) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id)::INT AS rank, vec_id, d FROM m QUALIFY rank <= 10")
+def custom_metric(spark, sf_dir):
+    """Exact search under a metric of the caller's own: the sum of absolute differences."""
+    total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    manhattan = Metric("manhattan", lambda v: v, lambda a, b, aa, bb: total(a, b))
+    return exact.knn(*queries_of(spark, sf_dir, manhattan), 10)
+
+
+@query("fht_sql", f"WITH {BASE}, t AS (SELECT vec_id, {HADAMARD.format(v='v')} AS v FROM n) {long_sql('t')}")
+def fht_sql(spark, sf_dir):
+    """The transform called from SQL."""
+    H.register(spark)
+    return long_form(raw(spark, sf_dir).df.select("vec_id", F.expr("fht(v)").alias("v")), "v")
+
+
+@query("queries_by_recall", f"WITH {SEARCH}, r AS ({IDS}) SELECT row_number() OVER (ORDER BY recall, qid)::INT AS place, qid, recall FROM r")
+def queries_by_recall(spark, sf_dir):
+    return metrics.by_recall(metrics.recall_by_ids(*answered(spark, sf_dir)))
+
+
 # Probabilities and estimators
 
 

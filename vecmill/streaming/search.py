@@ -15,7 +15,7 @@ def search_stream(queries: DataFrame, table: VectorTable, k: int, sink: Callable
     """``queries`` is a stream of (vec_id, embedding); ``sink`` gets each batch's neighbours and the batch's number."""
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = VectorTable.of(df, table.metric).df
+        rows = VectorTable.of(df, table.form).df
         sink(knn(table, rows, k), number)
 
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
