@@ -18,13 +18,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a local session, as in
-    tests) a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``. Only in a local session, as in tests, a temporary folder takes
+    its place; elsewhere a machine's own folder would lose the rows of others, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named is None:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="vecmill-")
+        named = context.getCheckpointDir()
+    if named is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="vecmill-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -38,9 +42,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Like ``cut``, but as a Parquet table in the shared folder: later reads take only the columns they need."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).stored(df)
+
+
+class Tables:
+    """Intermediate Parquet tables in a folder of their own in the shared one; ``close`` removes them all."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read again: its size is known to the planner, and lost executors lose none of it."""
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self, result: DataFrame) -> DataFrame:
+        """``result`` written outside the folder, which is removed."""
+        result = stored(result)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return result
 
 
 def let(value: Column, body) -> Column:

@@ -1,26 +1,28 @@
 """Operator 8: n-gram Jaccard self-join by a token-group matrix, exact, up to connected components.
 
-Documents with equal shingle sets are one node. Nodes that share a pair of min-hashes are compared with the
-smallest of them; those that link form groups (stars), so a large family of near copies is one group after as
-many comparisons as it has members. Then the exact part:
-
-  A second round tries other leaders.
-* Every node contributes the tokens of its prefix (the rarest shingles first; a pair that links must share
-  some). The matrix stores per token and group that the group's union holds it, with the group's size range;
-  it is aggregated before it is shuffled, so a family of copies costs one row per token.
-* Two groups qualify if their unions share at least as many prefix tokens as any linked pair must, and their
-  size ranges admit a link with what they can share at most (what a node's prefix holds alone it shares with none). Only qualifying groups are opened: first their smallest members are compared,
-  then, where that did not join them, all members that share tokens.
-
-No pair within a group is made, yet no link between different groups is lost: whether two nodes of different
-groups link is always decided by comparing their whole sets. The order of the tokens (heavy hitters last, from
-summaries of all partitions) only changes the cost: prefix filtering is exact under any order.
-
-Shingles are held as 64-bit hashes, sets as 128-bit digests of their sorted hashes.
-
-Defined results: null and wordless texts have no set and link with nothing; rows that repeat each other are
-linked; rows with a null id have a null component; if two texts share an id, their links are that id's; other
-columns are dropped.
+Documents with equal shingle sets are one node. Each node is compared with the leaders of its min-hash keys (the text
+that most copies of a family stem from); nodes near a leader form a group around it, linked or not. A node is then
+described by its differences to the leader: the shingles that only one of the two holds. Then the exact part:
+
+* The matrix stores, per token and group, that the union of the members' prefixes (rarest shingles first; a pair that
+  links must share some) holds it, with size range and overlap bounds. It is aggregated before it is shuffled: a
+  family of copies costs one row per token. A node of the smaller group that shares too few tokens with the union, or
+  whose overlap bound is too low, passes the group by.
+* Otherwise the node is compared with the group's leader. Differences are a metric: the group qualifies for the node
+  only if its radius admits a link, and only qualifying groups are opened.
+* In an opened group (its own one, and those a node visits) two nodes that are not linked yet can link only if they
+  share enough of their differences to the leader, since at least one of them failed against it. So they meet at their
+  rarest differences, a prefix filter over sets that are small among copies, and what they share decides.
+
+No pair within a group is made but at shared differences, yet no link between different texts is lost: prefix filters
+are exact under any order of the tokens, and a bad choice of leaders or groups costs time only.
+
+Shingles and sets are held as 64-bit hashes; a second hash of each set tells if two sets clash, which starts the work
+anew with another seed.
+
+Defined results: null and wordless texts have no set and link with nothing; rows that repeat each other are linked;
+texts that share an id are told apart; rows without id link like others, but their component_id is null; an empty table
+gives no rows; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from vecmill.llm.common import cut, documents, stored
+from vecmill.llm.common import Tables, documents
 from vecmill.llm.components import components
 
 #: Tokens kept of the heavy-hitter summaries, of each partition's and of all: they fix an order, no result.
@@ -41,8 +43,17 @@ HEAVY = 1 << 17
 MIN_HASHES = 12
 #: A linked pair shares this many tokens of its prefixes (less in very small sets).
 HITS = 3
-#: Ids (or tokens) up to which a list of them is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: A list of ids or tokens up to this size is broadcast, at this many bytes a row in a hash table; beyond, it is shuffled.
+BROADCAST_BYTES = 2 << 20
+BROADCAST_ROW = 32
+#: Words of 64 bits of a sieve, which takes out most rows that a longer list does not hold before the rest is shuffled.
+SIEVE = 1 << 18
+#: Texts that a task hashes at a time.
+CHUNK = 1_000
+#: Similarity to a leader, in percent, from which a node belongs to its group; and how much less than its best a node
+#: accepts to follow a leader that more nodes follow. Both fix costs, no result.
+NEAR = 50
+SLACK = 15
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -113,8 +124,8 @@ def heavy_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        for batch in batches:
-            sets = [shingles(t, n) for t in batch["text"]]
+        for texts in (batch["text"].iloc[lo : lo + CHUNK] for batch in batches for lo in range(0, len(batch), CHUNK)):
+            sets = [shingles(t, n) for t in texts]
             own, times = np.unique(np.concatenate(sets) if sets else tokens, return_counts=True)
             twice = times > 1
             tokens, at = np.unique(np.concatenate((tokens, own[twice])), return_inverse=True)
@@ -138,17 +149,23 @@ def place(count: int, token: int) -> int:
     return most << 23 if count >= most else (count << 23) | (token >> 41)
 
 
-def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, sig, size, rare, end, keys, prefix) of each row; written once, so texts are not hashed again. ``rare``
-    counts the shingles that are no heavy hitters: it is least for the text that most copies of a family stem from.
-    ``end`` rises with the place of the prefix's last token in the order of all tokens."""
+def digest(sorted_hashes: np.ndarray, seed: int) -> tuple[int, int]:
+    """Two 64-bit hashes of a set: its name, and one to tell clashes."""
+    raw = hashlib.blake2b(sorted_hashes.tobytes(), digest_size=16, salt=seed.to_bytes(4, "little")).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def signatures(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+    """(doc_id, node, check, size, rare, end, keys, prefix) of each row. ``rare`` counts the shingles that are no heavy
+    hitters: it is least for the text that most copies of a family stem from. ``end`` rises with the place of the
+    prefix's last token in the order of all tokens."""
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, n))
-    mul = _RNG_KEYS
+    mul, names = _RNG_KEYS, ["node", "check", "size", "rare", "end", "keys", "prefix"]
 
     def one(text):
         s = shingles(text, n)
         if not len(s):
-            return None, 0, 0, 0, [], []
+            return None, None, 0, 0, 0, [], []
         tokens, counts = heavy.value
         cls = np.zeros(len(s), dtype=np.int64)
         if len(tokens):
@@ -161,84 +178,25 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
         end = place(int(cls[order[-1]]), int(prefix[-1]))
         mins = np.array([(s * m).min() for m in mul])
         keys = _mix(mins[::2] * np.uint64(3) + _mix(mins[1::2])) ^ np.arange(len(mins) // 2, dtype=np.uint64)
-        return hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), int((cls == 0).sum()), end, keys.view(np.int64), prefix.view(np.int64)
+        return *digest(s, seed), len(s), int((cls == 0).sum()), end, keys.view(np.int64), prefix.view(np.int64)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                part = batch.iloc[lo : lo + 2000]
-                rows = [one(t) for t in part["text"]]
-                out = pd.DataFrame(rows, columns=["sig", "size", "rare", "end", "keys", "prefix"])
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield out
+            for lo in range(0, len(batch), CHUNK):
+                part = batch.iloc[lo : lo + CHUNK]
+                columns = dict(zip(names, zip(*[one(t) for t in part["text"]], strict=True), strict=True))
+                # Never by way of floats, which hold no 64 bits.
+                exact = {c: pd.array(columns[c], dtype="Int64") for c in ("node", "check")}
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **columns, **exact})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    rows = rows.mapInPandas(task, "doc_id string, sig binary, size long, rare long, end long, keys array<long>, prefix array<long>")
-    return stored(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
+    rows = rows.mapInPandas(task, "doc_id string, node long, check long, size long, rare long, end long, keys array<long>, prefix array<long>")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 _RNG_KEYS = np.random.default_rng(21).integers(0, 1 << 64, MIN_HASHES, dtype=np.uint64) | np.uint64(1)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has BROADCAST_IDS rows at most."""
-    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
-
-
-def some(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``df`` by whether their doc_id is among ``ids`` (doc_id)."""
-    return df.join(bounded(ids), "doc_id", how)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets link."""
-    pairs = cut(pairs)
-    if pairs.isEmpty():
-        return pairs
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                part = batch.iloc[lo : lo + 2000]
-                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "tokens": [shingles(t, n).view(np.int64) for t in part["text"]]})
-
-    texts = some(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), ids)
-    sets = texts.mapInPandas(task, "id long, tokens array<long>")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("inter"))
-    return both.where((F.col("inter") > 0) & (100 * F.col("inter") >= percent * (F.col("na") + F.col("nb") - F.col("inter")))).select("a", "b").distinct()
-
-
-def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (id, ...) with their group: the root of their component, else the id."""
-    roots = components(links)
-    return cut(nodes.drop("group").join(roots, "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root"))
-
-
-def leaders(nodes: DataFrame, *ranks) -> DataFrame:
-    """(a, b): each node and, for each of its min-hash keys, the nodes of least ``ranks`` with that key, where the two
-    are in different groups."""
-    keyed = nodes.select("id", "group", "rare", F.explode("keys").alias("key"))
-    firsts = [F.min(F.struct(rank.alias("rank"), F.col("id").alias("b"), F.col("group").alias("gb"))) for rank in ranks]
-    lead = keyed.groupBy("key").agg(F.array(*firsts).alias("firsts"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1")
-    met = keyed.join(lead.select("key", F.explode("firsts").alias("f")), "key").where("group <> f.gb")
-    return met.select(F.greatest("id", "f.b").alias("a"), F.least("id", "f.b").alias("b")).distinct()
-
-
-def stars(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes with their groups, links). A second round compares the nodes of different groups with other leaders:
-    copies that differ too much from one of their family link to another."""
-    links = cut(verified(leaders(nodes.withColumn("group", F.col("id")), F.col("rare")), docs, n, percent))
-    nodes = grouped(nodes, links)
-    new = cut(verified(leaders(nodes, F.col("id"), -F.col("id"), F.xxhash64("id")), docs, n, percent))
-    if new.isEmpty():
-        return nodes, links
-    links = links.unionByName(new)
-    return grouped(nodes, links), links
-
-
 def hits_needed(smallest, percent: int):
     return F.least(F.lit(HITS), F.ceil(smallest * percent / 100))
 
@@ -252,21 +210,6 @@ def prefix_length(size, percent: int):
     return size - least + F.least(F.lit(HITS), least)
 
 
-def shared_cells(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(token, group, id, size, most, end): the prefix tokens of the nodes that more than one group holds. ``most``
-    bounds what a node can share with the nodes of other groups whose prefix ends later: a prefix token that none of
-    them holds is not in their sets either.
-    The nodes' tokens are shuffled once, as a token with the first and last of its groups, aggregated before."""
-    of = bounded(nodes.select(F.col("id").alias("doc_id"), "size", "group"))
-    cells = rows.select("doc_id", "size", "end", "prefix").join(of, ["doc_id", "size"]).select("group", F.col("doc_id").alias("id"), "size", "end", F.explode("prefix").alias("token"))
-    ends = cells.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1"))
-    shared = cut(ends.where("g0 < g1").select("token"))
-    cells = cells.join(bounded(shared), "token").distinct()
-    own = F.count("*").over(Window.partitionBy("id", "size"))
-    cells = cells.withColumn("most", F.col("size") - prefix_length(F.col("size"), percent) + own)
-    return cut(cells)
-
-
 def overlaps(sizes, a_first, a_last, b_first, b_last, a_most, b_most, percent: int):
     """Whether sets of these sizes, together, can link: 100 * x >= percent * (sizes - x) for what they share at most.
     The bound is that of the side whose prefix surely ends first."""
@@ -274,95 +217,279 @@ def overlaps(sizes, a_first, a_last, b_first, b_last, a_most, b_most, percent: i
     return percent * sizes <= (100 + percent) * most
 
 
-def meetings(cells: DataFrame, percent: int) -> DataFrame:
-    """(token, ga, gb): the token-group matrix met with itself, for groups whose size ranges
-    and bounds on what they share admit a link."""
-    matrix = cells.groupBy("token", "group").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("most").alias("most"), F.min("end").alias("first"), F.max("end").alias("last"))
-    a, b = matrix.alias("a"), matrix.alias("b")
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group"))
-    on = on & fits(F.col("a.hi"), F.col("b.lo"), percent) & fits(F.col("b.hi"), F.col("a.lo"), percent)
-    ends = [F.col(f"{x}.{c}") for x in "ab" for c in ("first", "last")]
-    on = on & overlaps(F.col("a.lo") + F.col("b.lo"), *ends, F.col("a.most"), F.col("b.most"), percent)
-    return a.join(b, on).select(F.col("a.token").alias("token"), F.col("a.group").alias("ga"), F.col("b.group").alias("gb"))
-
-
-def qualifying(cells: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(ga, gb): groups whose unions share enough prefix tokens, ga < gb."""
-    pairs = meetings(cells, percent).groupBy("ga", "gb").agg(F.count("*").alias("hits"))
-    small = nodes.groupBy("group").agg(F.min("size").alias("least")).where(F.ceil(F.col("least") * percent / 100) < HITS)
-    few = pairs.where(F.col("hits") < HITS)
-    for g in ("ga", "gb"):
-        few = few.join(small.select(F.col("group").alias(g), F.col("least").alias(f"l{g}")), g, "left")
-    need = F.least(*[F.coalesce(hits_needed(F.col(f"l{g}"), percent), F.lit(HITS)) for g in ("ga", "gb")])
-    many = pairs.where(F.col("hits") >= HITS).select("ga", "gb")
-    return cut(many.unionByName(few.where(F.col("hits") >= need).select("ga", "gb")))
-
-
-def opened(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of the groups of ``pairs`` (ga, gb) that share enough prefix tokens. Members meet at the
-    tokens that both groups hold, not at the groups."""
-    at = meetings(cells, percent).join(pairs, ["ga", "gb"], "left_semi")
-
-    def side(x: str) -> DataFrame:
-        names = {"token": "t", "group": "k", "id": "", "size": "n", "most": "m", "end": "e"}
-        return cells.select(*[F.col(c).alias(f"{short}{x}") for c, short in names.items()])
-
-    met = at.join(side("a"), (F.col("token") == F.col("ta")) & (F.col("ga") == F.col("ka")))
-    c = F.col
-    can = fits(c("na"), c("nb"), percent) & fits(c("nb"), c("na"), percent)
-    can = can & overlaps(c("na") + c("nb"), c("ea"), c("ea"), c("eb"), c("eb"), c("ma"), c("mb"), percent)
-    met = met.join(side("b"), (c("token") == c("tb")) & (c("gb") == c("kb")) & can)
-    met = met.groupBy("a", "b").agg(F.count("*").alias("hits"), F.min(F.least("na", "nb")).alias("least"))
-    return met.where(F.col("hits") >= hits_needed(F.col("least"), percent)).select("a", "b")
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a list of ids or tokens, with a broadcast hint if it is of BROADCAST_BYTES at most."""
+    return F.broadcast(df) if is_short(df) else df
+
+
+def is_short(df: DataFrame) -> bool:
+    most = BROADCAST_BYTES // BROADCAST_ROW
+    return df.limit(most + 1).count() <= most
+
+
+def among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is the only column of ``wanted``; null is a key like others. A long list is joined by
+    a shuffle; a bit table of its hashes, of a fixed size, is broadcast before and spares that most of the other rows."""
+    name = wanted.columns[0]
+    exact = F.col(key).eqNullSafe(F.col("__want"))
+    wanted = wanted.select(F.col(name).alias("__want"))
+    if is_short(wanted):
+        return df.join(F.broadcast(wanted), exact, "left_semi")
+
+    def places(column: str) -> tuple[Column, Column]:
+        h = F.xxhash64(column)
+        return F.pmod(h, F.lit(SIEVE)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+
+    word, bit = places("__want")
+    table = wanted.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    word, bit = places(key)
+    near = df.withColumns({"__at": word, "__own": bit}).join(F.broadcast(table), F.col("__at") == F.col("__word"))
+    near = near.where(F.col("__bits").bitwiseAND(F.col("__own")) != 0).select(*df.columns)
+    return near.join(wanted, exact, "left_semi")
+
+
+def linked(inter, na, nb, percent: int) -> Column:
+    return (inter > 0) & (100 * inter >= percent * (na + nb - inter))
+
+
+class Join:
+    """The steps of one join: the documents, the shingles' length, the least similarity in percent, and the tables."""
+
+    def __init__(self, docs: DataFrame, n: int, percent: int):
+        self.docs, self.n, self.percent = docs, n, percent
+        self.tables = Tables(docs.sparkSession)
+        self.seed = 0
+
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        """(rows, classes): the signatures, and per node its smallest doc_id and rows."""
+        while True:
+            rows = self.tables.stored(signatures(self.docs, self.n, self.percent, self.seed))
+            known = rows.where("node IS NOT NULL").groupBy("node")
+            found = self.tables.stored(known.agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi")))
+            if found.where("lo <> hi").isEmpty():
+                return rows, found.select("node", "doc_id")
+            self.seed += 1
+
+    def sets(self, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+        """(node, tokens) of ``nodes`` (node): the whole texts hashed again, which is cheaper than keeping all sets."""
+        n, seed = self.n, self.seed
+        wanted = self.tables.stored(classes.join(nodes.distinct(), "node", "left_semi"))
+        texts = among(self.docs.select("doc_id", "text"), "doc_id", wanted.select("doc_id").distinct())
+
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for lo in range(0, len(batch), CHUNK):
+                    found = [shingles(t, n) for t in batch["text"].iloc[lo : lo + CHUNK]]
+                    found = [s for s in found if len(s)]
+                    yield pd.DataFrame({"node": np.array([digest(s, seed)[0] for s in found], dtype=np.int64), "tokens": [s.view(np.int64) for s in found]})
+
+        found = texts.select("text").mapInPandas(task, "node long, tokens array<long>")
+        # Rows that repeat an id and its text are one set; texts that only share the id are not wanted.
+        return found.dropDuplicates(["node"]).join(bounded(wanted.select("node")), "node", "left_semi")
+
+    def paired(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """``pairs`` (a, b, ...) with their sets ta and tb. Many pairs may have one leader b: AQE splits such a key, as
+        nothing above the join asks for its rows together."""
+        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
+        return left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+
+    def compared(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """(a, b, na, nb, inter) of ``pairs`` (a, b): sizes of the whole sets and of what they share."""
+        pairs = self.tables.stored(pairs)
+        if pairs.isEmpty():
+            return pairs.select("a", "b", *[F.lit(1).alias(c) for c in ("na", "nb", "inter")])
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes)
+        both = self.paired(pairs, sets)
+        return self.tables.stored(both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("inter")))
+
+    def links(self, found: DataFrame) -> DataFrame:
+        return found.where(linked(F.col("inter"), F.col("na"), F.col("nb"), self.percent)).select("a", "b")
+
+    def grouped(self, nodes: DataFrame, compared: DataFrame) -> DataFrame:
+        """(node, size, lead, d, many): each node's leader, itself if none is near, the number of differences to it and
+        the number of nodes that follow it."""
+        like = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
+        near = compared.withColumn("like", like).where(100 * F.col("like") >= NEAR)
+        follow = near.groupBy("b").agg(F.count("*").alias("followers"))
+        choice = F.struct("followers", F.col("b").alias("lead"), "like", (F.col("na") + F.col("nb") - 2 * F.col("inter")).cast("long").alias("d"))
+        # As many leaders as a node has keys at most.
+        of = near.join(follow, "b").groupBy(F.col("a").alias("node")).agg(F.collect_list(choice).alias("all"))
+        best = F.array_max(F.transform("all", lambda x: x["like"]))
+        of = of.withColumn("best", best).select("node", F.array_max(F.filter("all", lambda x: x["like"] >= F.col("best") - SLACK / 100)).alias("c"))
+        nodes = nodes.select("node", "size").join(of, "node", "left")
+        nodes = nodes.select("node", "size", F.coalesce("c.lead", "node").alias("lead"), F.coalesce("c.d", F.lit(0)).alias("d"))
+        many = nodes.groupBy("lead").agg(F.count("*").alias("many"))
+        return self.tables.stored(nodes.join(many, "lead"))
+
+    def cells(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(token, lead, many, node, size, most, end): the prefix tokens of the nodes that more than one group holds.
+        ``most`` bounds what a node can share with the nodes of other groups whose prefix ends later: a prefix token
+        that none of them holds is not in their sets either."""
+        prefixes = rows.where("node IS NOT NULL").select("node", "end", "prefix").dropDuplicates(["node"])
+        cells = prefixes.join(nodes.select("node", "size", "lead", "many"), "node").withColumn("token", F.explode("prefix")).drop("prefix")
+        ends = cells.groupBy("token").agg(F.min("lead").alias("l0"), F.max("lead").alias("l1"))
+        shared = self.tables.stored(ends.where("l0 < l1").select("token"))
+        cells = among(cells, "token", shared)
+        own = F.count("*").over(Window.partitionBy("node"))
+        return self.tables.stored(cells.withColumn("most", F.col("size") - prefix_length(F.col("size"), self.percent) + own))
+
+    def visits(self, cells: DataFrame) -> DataFrame:
+        """(a, b): nodes and the leaders of groups, not smaller than their own, whose unions they share enough tokens with."""
+        percent, c = self.percent, F.col
+        union = cells.groupBy("token", "lead", "many").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("most").alias("u_most"), F.min("end").alias("first"), F.max("end").alias("last"))
+        union = union.select(*[c(x).alias(f"g_{x}") for x in union.columns])
+        on = (c("token") == c("g_token")) & (F.struct("many", "lead") < F.struct("g_many", "g_lead"))
+        on = on & fits(c("size"), c("g_lo"), percent) & fits(c("g_hi"), c("size"), percent)
+        on = on & overlaps(c("size") + c("g_lo"), c("end"), c("end"), c("g_first"), c("g_last"), c("most"), c("g_u_most"), percent)
+        met = cells.join(union, on).groupBy("node", "g_lead").agg(F.count("*").alias("hits"), F.min(F.least("size", "g_lo")).alias("least"))
+        return met.where(F.col("hits") >= hits_needed(F.col("least"), percent)).select(F.col("node").alias("a"), F.col("g_lead").alias("b"))
+
+    def opened(self, nodes: DataFrame, visits: DataFrame) -> DataFrame:
+        """(lead, node, size, d, lead_size) of the visits that can link with a member: a member is at most as far from
+        its leader as the group's radius says."""
+        p = self.percent
+        radius = nodes.groupBy("lead").agg(F.max((100 + p) * F.col("d") + (100 - p) * F.col("size")).alias("radius"))
+        far = visits.select(F.col("b").alias("lead"), F.col("a").alias("node"), F.col("na").alias("size"), (F.col("na") + F.col("nb") - 2 * F.col("inter")).cast("long").alias("d"), F.col("nb").alias("lead_size"))
+        return far.join(radius, "lead").where((100 + p) * F.col("d") <= (100 - p) * F.col("size") + F.col("radius")).drop("radius")
+
+    def differences(self, nodes: DataFrame, opened: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+        """(lead, node, size, d, root, lead_size, fails, diff): members and visitors of the groups that hold more than
+        one component, and their differences to the leader."""
+        p = self.percent
+        sizes = nodes.select(F.col("node").alias("lead"), F.col("size").alias("lead_size"))
+        # A leader without followers was compared with its visitors already.
+        members = nodes.where("NOT (many = 1 AND node = lead)")
+        opened = opened.join(members.select("lead").distinct(), "lead", "left_semi")
+        members = members.join(sizes, "lead").select("lead", "node", "size", "d", "lead_size")
+        all_ = members.unionByName(opened.select(*members.columns)).join(roots.withColumnRenamed("id", "node"), "node", "left")
+        all_ = self.tables.stored(all_.withColumn("root", F.coalesce("root", "node")))
+        mixed = all_.groupBy("lead").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("lead")
+        all_ = all_.join(mixed, "lead", "left_semi").where("node <> lead")
+        sets = self.sets(all_.select(F.explode(F.array("node", "lead")).alias("node")), classes)
+        both = self.paired(all_.withColumnsRenamed({"node": "a", "lead": "b"}), sets)
+        diff = F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta"))
+        fails = (100 + p) * F.col("d") > (100 - p) * (F.col("size") + F.col("lead_size"))
+        return self.tables.stored(both.select(F.col("b").alias("lead"), F.col("a").alias("node"), "size", "d", "root", "lead_size", fails.alias("fails"), diff.alias("diff")))
+
+    def meetings(self, diffs: DataFrame) -> DataFrame:
+        """(lead, node_a, node_b): nodes of different components that meet at a difference in an opened group. A token
+        that is a difference is in the leader's set or not, for all of the group alike, so it needs no sign."""
+        p, c = self.percent, F.col
+        cells = diffs.select("lead", "node", "size", "d", "root", "lead_size", "fails", F.explode("diff").alias("token"))
+        held = cells.groupBy("lead", "token").agg(F.count("*").alias("held"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").drop("r0", "r1")
+        shared = cells.join(held, ["lead", "token"])
+        # Differences that no other component holds come first in each node's order, so they need no place.
+        own = Window.partitionBy("lead", "node")
+        place_ = c("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "token"))
+        # The farther node of a pair needs no more than ``far`` places, the nearer one ``close``: both bound, over all
+        # partners of a size that can link, d - need + 1 with the need of ``met``.
+        far = 1 + (100 - p) * c("size") / p
+        close = 1 + (100 - p) * c("size") / (2 * p)
+        # A node that links with the leader meets nodes that failed against it, which need more.
+        met_failed = 1 + ((100 + p) * c("d") + (100 - p) * (c("size") - c("lead_size"))) / (2 * (100 + p))
+        shared = shared.withColumn("place", place_).where(c("place") <= far)
+        shared = self.tables.stored(shared.withColumn("close", (c("place") <= close) & (c("fails") | (c("place") < met_failed))))
+
+        def side(x: str) -> DataFrame:
+            return shared.select("lead", "token", *[c(n).alias(f"{n}_{x}") for n in ("node", "size", "d", "root", "place", "close")])
+
+        need = F.ceil(((100 + p) * (c("d_a") + c("d_b")) - (100 - p) * (c("size_a") + c("size_b"))) / (2 * (100 + p)))
+        met = (c("root_a") != c("root_b")) & (F.struct("d_a", "node_a") > F.struct("d_b", "node_b"))
+        met = met & (c("place_a") <= c("d_a") - need + 1) & (c("place_b") <= c("d_b") - need + 1)
+        met = met & (1 + F.least(c("d_a") - c("place_a"), c("d_b") - c("place_b")) >= need)
+        a, b = side("a").drop("close_a"), side("b").where("close_b").drop("close_b")
+        pairs = a.join(b, (a["lead"] == b["lead"]) & (a["token"] == b["token"]) & met).select(a["lead"], "node_a", "node_b").distinct()
+        return pairs
+
+    def inside(self, diffs: DataFrame) -> DataFrame:
+        """(a, b) of the links in opened groups."""
+        p, c = self.percent, F.col
+        pairs = self.meetings(diffs)
+        whole = diffs.select("lead", "node", "size", "d", "diff")
+        for x in ("a", "b"):
+            pairs = pairs.join(whole.select("lead", *[c(n).alias(f"{n}_{x}") for n in ("node", "size", "d", "diff")]), ["lead", f"node_{x}"])
+        apart = c("d_a") + c("d_b") - 2 * F.size(F.array_intersect("diff_a", "diff_b"))
+        return self.tables.stored(pairs.where((100 + p) * apart <= (100 - p) * (c("size_a") + c("size_b"))).select(c("node_a").alias("a"), c("node_b").alias("b")).distinct())
+
+    def roots(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(rows, classes, roots): roots are (id, root) of the linked nodes."""
+        rows, classes = self.classes()
+        nodes = rows.where("node IS NOT NULL").select("node", "size", "rare", "keys").dropDuplicates(["node"])
+        compared = self.compared(leaders(self.tables.stored(nodes)), classes)
+        links = self.links(compared)
+        nodes = self.grouped(nodes, compared)
+        visits = self.compared(self.visits(self.cells(rows, nodes)), classes)
+        links = links.unionByName(self.links(visits))
+        roots = components(links, self.tables.stored)
+        opened = self.tables.stored(self.opened(nodes, visits))
+        more = self.inside(self.differences(nodes, opened, roots, classes))
+        return rows, classes, roots if more.isEmpty() else components(links.unionByName(more), self.tables.stored)
+
+    def result(self) -> DataFrame:
+        """A row per row: doc_id, n_shingles, component_id (the smallest doc_id of all that it is linked with, over any
+        number of links; its own without links), node (its set; null without words) and root (that of its component)."""
+        rows, classes, roots = self.roots()
+        found = classes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = self.tables.stored(found)
+        least = found.groupBy("root").agg(F.min("doc_id").alias("component"))
+        found = found.select("node", "root").join(least, "root")
+        # A class of exact copies may hold a third of the rows: AQE splits that key of this join.
+        result = rows.select("doc_id", "node", "size").join(found, "node", "left")
+        component = F.when(F.col("node").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+        return self.tables.close(result.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), "node", "root"))
+
+
+def leaders(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node and, for each of its min-hash keys, the node with that key that has the fewest rare shingles."""
+    keyed = nodes.select("node", "rare", F.explode("keys").alias("key"))
+    first = keyed.groupBy("key").agg(F.min(F.struct("rare", F.col("node").alias("lead"))).alias("f"), F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(first, "key").where("node <> f.lead")
+    return met.select(F.col("node").alias("a"), F.col("f.lead").alias("b")).distinct()
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, sig."""
-    rows = signatures(docs, n, percent)
-    known = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(known.groupBy("sig").agg(F.min("doc_id").alias("id")))
-    nodes = known.select("doc_id", "sig", "size", "rare", "keys").join(classes.withColumnRenamed("id", "doc_id"), ["sig", "doc_id"], "left_semi")
-    nodes = cut(nodes.select(F.col("doc_id").alias("id"), "size", "rare", "keys").dropDuplicates(["id", "size", "keys"]))
-    nodes, links = stars(nodes, docs, n, percent)
-    nodes = nodes.drop("keys")
-    cells = shared_cells(known, nodes.dropDuplicates(["id", "size"]), percent)
-    pairs = qualifying(cells, nodes, percent)
-    first = cut(verified(pairs.select(F.col("ga").alias("a"), F.col("gb").alias("b")), docs, n, percent))
-    # Groups that the first comparison joined need not be opened, nor do single nodes, which it settled.
-    merged = components(first)
-    larger = nodes.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    for g in ("ga", "gb"):
-        pairs = pairs.join(merged.select(F.col("id").alias(g), F.col("root").alias(f"r{g}")), g, "left")
-        pairs = pairs.join(larger.select(F.col("group").alias(g), F.col("n").alias(f"n{g}")), g, "left")
-    pairs = pairs.where(F.coalesce("rga", "ga") != F.coalesce("rgb", "gb")).where("nga > 1 OR ngb > 1")
-    rest = verified(opened(cut(pairs.select("ga", "gb")), cells, percent), docs, n, percent)
-    roots = components(links.unionByName(first).unionByName(rest))
-    found = classes.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("component"))
-    # A class of exact copies may hold a third of the rows: AQE splits that key of this join.
-    return rows.select("doc_id", "sig", "size").join(found, "sig", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), "sig",
-    )
+    """One row per row of ``docs`` (doc_id, text), as ``Join.result`` says."""
+    return Join(docs, n, percent).result()
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(documents(spark, sf_dir).select("doc_id", "text")).drop("sig")
+    return join(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near duplicates stays, that with the smallest id.
+    """Pipeline stage: one document of each group of near duplicates stays, that with the smallest id (rows without id
+    come last).
 
-    Five words a shingle, similarity 0.8. Documents without words or id are in no group and stay; of rows that
-    repeat an id and its text one stays.
+    Five words a shingle, similarity 0.8. Documents without words are in no group and stay; of rows that repeat an id
+    and a set of shingles one stays. Texts that share an id, or have none, are decided one by one.
     """
-    found = cut(join(docs.select("doc_id", "text"), 5, 80))
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = some(docs, gone, "left_anti")
-    again = cut(found.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return kept
-    once = some(kept, again).dropDuplicates(["doc_id", "text"])
-    return some(kept, again, "left_anti").unionByName(once)
+    n = 5
+    work, tables = Join(docs.select("doc_id", "text"), n, 80), Tables(spark)
+    found = tables.stored(work.result().where("node IS NOT NULL").select("doc_id", "node", "root"))
+    seed = work.seed
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    first = found.groupBy("root").agg(F.min(order).alias("f"))
+    gone = found.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("node") == F.col("f.node")))).select("doc_id", "node")
+    gone = tables.stored(gone.distinct())
+    repeated = found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__unclear"))
+    repeated = tables.stored(repeated)
+    if repeated.isEmpty():
+        return docs.join(bounded(tables.close(gone.select(F.col("doc_id").alias("__gone")))), F.col("doc_id") == F.col("__gone"), "left_anti")
+    clear = docs.join(bounded(gone.select(F.col("doc_id").alias("__gone")).distinct()), F.col("doc_id") == F.col("__gone"), "left_anti")
+    clear = clear.join(repeated, F.col("doc_id").eqNullSafe(F.col("__unclear")), "left_anti")
+    texts = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("__unclear")), "left_semi")
+
+    @F.pandas_udf("long")
+    def node_of(text: pd.Series) -> pd.Series:
+        found = [shingles(t, n) for t in text]
+        return pd.Series([digest(s, seed)[0] if len(s) else None for s in found], dtype="Int64")
+
+    named = texts.withColumn("__node", node_of("text"))
+    away = gone.select(F.col("doc_id").alias("__id"), F.col("node").alias("__away"))
+    kept = named.join(away, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__away")), "left_anti")
+    empty = kept.where("__node IS NULL").drop("__node")
+    kept = kept.where("__node IS NOT NULL").dropDuplicates(["doc_id", "__node"]).drop("__node")
+    return clear.unionByName(kept).unionByName(empty)
 
 
 SQL = r"""
