@@ -39,9 +39,10 @@ ROUNDS = 3
 SUPPORT = 5
 CONFIDENCE = 0.5
 ACCEPT = 0.8
-#: Patterns up to which their words are broadcast when the corpus is counted; beyond, all words are counted.
-BROADCAST_PATTERNS = 200_000
-NEAR = 80
+#: Bytes of the patterns' words up to which they are broadcast when the corpus is counted; beyond, all words are counted.
+BROADCAST_BYTES = 4 << 20
+#: The blank-separated token that comes next.
+NEXT = r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)"
 
 
 def luhn(digits: Column) -> Column:
@@ -70,8 +71,9 @@ def matches(text: Column, pattern: str, kind: int) -> Column:
 
     def with_gaps(found: Column, gaps: Column) -> Column:
         def row(value: Column, i: Column) -> Column:
-            before = F.lower(F.regexp_extract(F.right(F.get(gaps, i), F.lit(NEAR)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-            after = F.lower(F.regexp_extract(F.left(F.get(gaps, i + 1), F.lit(NEAR)), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
+            # Reversed, the token before is the first one, so that both are found in linear time.
+            before = F.lower(F.reverse(F.regexp_extract(F.reverse(F.get(gaps, i)), NEXT, 1)))
+            after = F.lower(F.regexp_extract(F.get(gaps, i + 1), NEXT, 1))
             gap = F.length(F.get(gaps, i))
             return F.struct(F.lit(kind).alias("kind"), i.alias("i"), gap.alias("gap"), value.alias("value"), before.alias("before"), after.alias("after"))
 
@@ -141,7 +143,8 @@ def places(df: DataFrame, edges: DataFrame) -> DataFrame:
     """(word, places): in how many places of the corpus each pattern's word stands."""
     words = edges.select("word").distinct()
     every = df.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), BLANKS)).alias("word"))
-    if words.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
+    size = words.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         return every.join(F.broadcast(words), "word").groupBy("word").agg(F.count("*").alias("places"))
     return every.groupBy("word").agg(F.count("*").alias("places")).join(words, "word")
 
@@ -212,11 +215,14 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: personal data is replaced by the name of its kind; every document stays."""
+    """Pipeline stage: personal data is replaced by the name of its kind; every document stays. ``docs`` may have any
+    columns besides doc_id, text and n_chars."""
     spans = find(docs.select("doc_id", "text")).where(F.size("spans") > 0)
-    spans = spans.dropDuplicates(["doc_id", "hash"]).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["__id"]) & (keyed["__h"] == spans["__hash"]), "left")
-    text = F.when(F.col("__spans").isNotNull(), redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    joined = joined.withColumn("text", text)
-    return joined.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    spans = spans.dropDuplicates(["doc_id", "hash"]).select(F.col("doc_id").alias("id"), "hash", "spans")
+    # The row is one column, so that its names clash with none.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("h"))
+    joined = keyed.join(spans, F.col("row.doc_id").eqNullSafe(spans["id"]) & (keyed["h"] == spans["hash"]), "left")
+    found = F.col("spans").isNotNull()
+    new = joined.withColumn("new", F.when(found, redacted(F.col("row.text"), F.col("spans"))))
+    changed = {"text": F.when(found, F.col("new")).otherwise(F.col("row.text")), "n_chars": F.when(found, F.length("new").cast("long")).otherwise(F.col("row.n_chars"))}
+    return new.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
