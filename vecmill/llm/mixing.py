@@ -6,9 +6,9 @@ sources still have to give, so that the totals meet the targets. A source's slot
 shards; slot numbers run through the blocks by a pseudorandom permutation for each epoch; slots and blocks
 are joined by block index. The last slot of a source takes only as many words as its target still lacks.
 
-Everything is derived from the data and the seed, so reruns agree. The driver sees a row per source and a
-count per (shard, source). Offsets of documents within a source are prefix sums in two steps, over hash
-buckets and within them, so that one large source is spread over many tasks.
+Everything is derived from the data and the seed, so reruns agree. The driver sees a row per source and draws a
+count per (shard, source); the slots themselves are made in tasks. Offsets of documents within a source are prefix sums
+in three steps, over groups of hash buckets, buckets and within them, so that one large source is spread over many tasks.
 
 Defined results: null and blank texts have size 0 and are never taken; the null source is a source of its own,
 last in order; rows that repeat each other share the words taken in an unspecified way between them; an empty
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vecmill.llm.common import cut, documents, word_list
 
@@ -32,7 +32,8 @@ REPEATS = 2
 BLOCK = 128
 SHARD_SLOTS = 1 << 22
 MIN_SHARDS = 16
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 256
+GROUP_BUCKETS = 1 << 12
 CHUNK = 1 << 14
 TASK_SLOTS = 1 << 19
 MAX_SOURCES = 100_000
@@ -126,8 +127,15 @@ def offsets(rows: DataFrame, table: pd.DataFrame, *first) -> DataFrame:
     # The hash of the row, not of the id: rows that share an id are spread too.
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)).cast("int"))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("sum"))
-    before = F.sum("sum").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("sid", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
+    sums = sums.withColumn("group", F.floor(F.col("bucket") / GROUP_BUCKETS))
+    groups = sums.groupBy("sid", "group").agg(F.sum("sum").alias("sum"))
+
+    def before(keys: list[str], by: str) -> Column:
+        return F.coalesce(F.sum("sum").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    groups = groups.select("sid", "group", before(["sid"], "group").alias("first"))
+    sums = sums.withColumn("base", before(["sid", "group"], "bucket")).join(groups, ["sid", "group"])
+    sums = sums.select("sid", "bucket", (F.col("base") + F.col("first")).alias("base"))
     w = Window.partitionBy("sid", "bucket").orderBy(*first, "doc_id", "tie", "size")
     placed = rows.withColumns(
         {
@@ -150,9 +158,7 @@ def slots(spark: SparkSession, table: pd.DataFrame, block: int = BLOCK, seed: in
     chunks, begun = [], [0] * len(sizes)
     for shard, got in enumerate(draw(number, shard_slots, seed)):
         for sid in np.flatnonzero(got):
-            for lo in range(0, int(got[sid]), CHUNK):
-                n = min(CHUNK, int(got[sid]) - lo)
-                chunks.append((shard, int(sid), begun[sid] + lo, begun[sid] + lo + n))
+            chunks.append((shard, int(sid), begun[sid], begun[sid] + int(got[sid])))
             begun[sid] += int(got[sid])
     if not chunks:
         return spark.createDataFrame([], "sid int, block long, epoch long, words long")
@@ -175,7 +181,9 @@ def slots(spark: SparkSession, table: pd.DataFrame, block: int = BLOCK, seed: in
                 words = np.minimum(words, goal[sid] - epoch * size[sid] - at * block)
                 yield pd.DataFrame({"sid": np.full(len(j), sid, dtype=np.int32), "block": index, "epoch": epoch, "words": words})
 
-    frame = spark.createDataFrame(chunks, "shard int, sid int, lo long, end long")
+    frame = spark.createDataFrame(chunks, "shard int, sid int, begin long, last long")
+    frame = frame.withColumn("lo", F.explode(F.sequence("begin", F.col("last") - 1, F.lit(CHUNK))))
+    frame = frame.select("shard", "sid", "lo", F.least(F.col("lo") + CHUNK, "last").alias("end"))
     tasks = sum(number) // TASK_SLOTS + 1
     return frame.repartition(tasks, "shard", "sid", "lo").mapInPandas(task, "sid int, block long, epoch long, words long")
 
@@ -217,7 +225,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix, in whole documents. A source's documents come in pseudorandom order, again in each
     epoch, and those whose middle lies before the source's goal are given out; so a source's words miss its goal by
-    half a document at most. Rows that share id, source, size and text share their number of copies."""
+    half a document at most. Rows that share id, source, size and text share their number of copies. ``docs`` may have any
+    columns besides doc_id, text and source. Null and blank texts are never given out; an empty table stays empty."""
     rows = sized(docs)
     table = sources(rows)
     if not len(table):
@@ -228,12 +237,12 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     goals = spark.createDataFrame(goals, "sid int, epochs long, rest long")
     number = F.col("epochs") + (2 * F.col("start") + F.col("size") <= 2 * F.col("rest")).cast("long")
     copies = placed.join(F.broadcast(goals), "sid").where("size > 0").withColumn("copies", number).where("copies > 0")
-    copies = copies.select(*[F.col(c).alias(f"__{c}") for c in own], "copies")
-    copies = copies.groupBy(*[f"__{c}" for c in own]).agg(F.sum("copies").alias("__copies"))
-    keyed = docs.withColumns({"__t": F.xxhash64("text")})
-    on = keyed["doc_id"].eqNullSafe(copies["__doc_id"]) & (keyed["__t"] == copies["__tie"]) & keyed["source"].eqNullSafe(copies["__source"])
-    w = Window.partitionBy("doc_id", "__t", "source").orderBy("lang", "n_chars")
-    joined = keyed.join(copies, on).drop(*[f"__{c}" for c in own])
-    alone = joined.withColumns({"__n": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "__k": F.row_number().over(w)})
-    share = F.floor((F.col("__copies") + F.col("__n") - F.col("__k")) / F.col("__n")).cast("int")
-    return alone.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), share))).select(*docs.columns)
+    copies = copies.groupBy(*own).agg(F.sum("copies").alias("copies"))
+    # The row is one column, so that its names clash with none.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("t"))
+    on = F.col("row.doc_id").eqNullSafe(copies["doc_id"]) & (keyed["t"] == copies["tie"]) & F.col("row.source").eqNullSafe(copies["source"])
+    keys = Window.partitionBy("row.doc_id", "t", "row.source")
+    w = keys.orderBy(F.xxhash64("row"))
+    alone = keyed.join(copies, on).select("row", "t", "copies").withColumns({"n": F.count("*").over(keys), "k": F.row_number().over(w)})
+    share = F.floor((F.col("copies") + F.col("n") - F.col("k")) / F.col("n")).cast("int")
+    return alone.withColumn("copy", F.explode(F.array_repeat(F.lit(0), share))).select("row.*")
