@@ -6,10 +6,13 @@ rows: once it is full, the rows that follow in its cells continue clockwise to t
 All rows that fit stay at home, so little moves when ids or shards come and go.
 
 The driver sees one count per cell (a fixed number, whatever the input). The rows' places within a cell come
-from a window per cell; each row is shuffled once, without its text.
+from a window per cell and part of it: a cell with many rows, as of one id or none, is dealt to parts by the rest of the
+row, so no window holds it whole. Each row is shuffled once, without its text.
 
 Law: ``rows`` (shard sizes differ by one at most). Defined results: a null text has no bytes, size 1 and
-checksum 0; a null id hashes like any id; repeated rows take neighbouring places; other columns are dropped.
+checksum 0; a null id hashes like any id; rows that repeat each other share their places in any order (if so many have one id that they crowd a cell, the places
+of that cell's rows may differ between differently partitioned inputs); an empty table
+gives no rows; other columns are kept (those of the query are its own), and may have any names but ``shard`` and ``slot``.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from vecmill.llm.common import cut, documents
 
 CELL_BITS = 16
+#: Rows of a cell in a part, about.
+PART_ROWS = 4_096
+#: Times the rows of the mean cell from which a cell is crowded by one key.
+HOT = 8
 VIRTUAL_NODES = 128
 
 
@@ -83,17 +90,29 @@ def assign(df: DataFrame, key: str, shards: int, order_by: list[str]) -> DataFra
 
     ``order_by``: columns that tell rows with one key apart, so that reruns agree.
     """
-    placed = cut(df.withColumn("__at", ring_position(F.col(key))).withColumn("__cell", cell_of(F.col("__at"))))
-    counts = {r[0]: r[1] for r in placed.groupBy("__cell").count().collect()}
+    own = [F.col(f"`{c}`") for c in df.columns]
+    at = ring_position(F.col(f"`{key}`"))
+    # Rows that are equal in all of these take places in any order: they are told apart by a number.
+    tie = F.monotonically_increasing_id()
+    placed = cut(df.select(F.struct(*own).alias("row"), at.alias("at"), cell_of(at).alias("cell"), F.struct(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in order_by]).alias("by"), tie.alias("tie")))
+    counts = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}
     segments = deal(counts, shards) or [(-1, 0, 0, 0, 0)]
-    table = df.sparkSession.createDataFrame(segments, "__c int, __lo long, __end long, shard int, __slot long")
-    w = Window.partitionBy("__cell").orderBy("__at", key, *order_by)
-    ranked = placed.withColumn("__rank", F.row_number().over(w).cast("long") - 1)
-    on = (F.col("__cell") == F.col("__c")) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__end"))
+    table = df.sparkSession.createDataFrame(segments, "c int, lo long, end long, shard int, first long")
+    # A row's part follows from the row itself; in cells that one key crowds, where rows may be equal, from its number too.
+    even = sum(counts.values()) / max(len(counts), 1)
+    crowded = [(c, -(-n // PART_ROWS), n > HOT * even) for c, n in counts.items() if n > PART_ROWS] or [(-1, 1, False)]
+    parts = F.broadcast(df.sparkSession.createDataFrame(crowded, "cell int, parts long, hot boolean"))
+    part = F.pmod(F.xxhash64("at", "by", F.when(F.col("hot"), F.col("tie"))), F.coalesce("parts", F.lit(1)))
+    dealt = placed.join(parts, "cell", "left").withColumn("part", part)
+    sums = dealt.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("cell", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    w = Window.partitionBy("cell", "part").orderBy("at", "by", "tie")
+    ranked = dealt.withColumn("inside", F.row_number().over(w).cast("long") - 1).join(sums, ["cell", "part"])
+    ranked = ranked.withColumn("rank", F.col("base") + F.col("inside"))
+    on = (F.col("cell") == F.col("c")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("end"))
     # At most one row per cell and per overflow: bounded by the ring, so it is broadcast.
-    return ranked.join(F.broadcast(table), on, "inner").select(
-        *df.columns, "shard", (F.col("__slot") + F.col("__rank") - F.col("__lo")).alias("slot")
-    )
+    return ranked.join(F.broadcast(table), on, "inner").select("row.*", "shard", (F.col("first") + F.col("rank") - F.col("lo")).alias("slot"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
