@@ -9,7 +9,8 @@ crc32(id as text) modulo 4 is 2 are held out. Inputs are statistics of the text
 
 Defined results: null and empty texts have all statistics 0 and get that score; without labels of both classes
 the score is their share of 1, or 0.5 without any; repeated and conflicting labels of an id count by their mean;
-rows with a null id are scored and not held out; other columns are dropped.
+rows with a null id are scored and not held out; texts that share an id are rows of their own; an empty table gives no
+rows; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -177,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     of = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     of = statistics(of.select(F.struct("doc_id", "quality").alias("doc_id"), "text"))
     table = of.select("doc_id.doc_id", (F.col("doc_id.quality") >= 0.5).cast("double").alias("y"), *[f"s{i}" for i in range(N_STATISTICS)])
-    data = table.orderBy("doc_id").limit(2 * rows).toPandas().to_numpy(dtype=np.float64)
+    # Texts that share an id share its label; the bound holds for them too.
+    data = table.orderBy(F.xxhash64("doc_id"), "doc_id", *[f"s{i}" for i in range(N_STATISTICS)]).limit(rows).toPandas().to_numpy(dtype=np.float64)
     return fit(data[:, 2:], data[:, 1])
 
 

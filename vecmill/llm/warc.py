@@ -11,7 +11,8 @@ are, as the table of digests that occur twice is broadcast below a checked numbe
 
 Defined results: a null page has an empty payload; small or unequal payloads are all responses; rows that
 repeat the largest page_id of their payload are all responses; a null page_id is written as an empty id, is
-read back as null and is never revisited unless it is the only kind; other columns are dropped.
+read back as null and is never revisited unless it is the only kind; an empty table writes no file and gives no rows;
+other columns are dropped. The reader takes records of other writers too: what they do not state is taken from the block.
 """
 
 from __future__ import annotations
@@ -85,7 +86,10 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     if not mark or not first.startswith("WARC/"):
         raise WarcError("not a WARC record")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    length = int(headers["content-length"])
+    try:
+        length = int(headers["content-length"])
+    except (KeyError, ValueError):
+        raise WarcError("no content length") from None
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise WarcError("the content length does not frame the record")
     block = rest[:length]
