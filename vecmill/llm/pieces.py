@@ -1,26 +1,35 @@
 """Operator 9: SentencePiece encoding and decoding as a relational lattice.
 
-Text is cut into words (a run of blanks and what follows). The distinct words of the corpus are encoded once:
-their bounded-length substrings are exploded and equi-joined to the piece table, the matches are the edges of
-the word's lattice, and a higher-order ``aggregate`` folds each lattice into a path. The fold depends on the
-model: the best path by score (Viterbi) for unigram models; for BPE models, whose result is not the path with
-the best score, the merges in order of score. The paths are then put together to each document's list of ids.
+Text is cut into words (a run of blanks and what follows). Distinct words are encoded once: their bounded-length
+substrings are exploded and equi-joined to the piece table, the matches are the edges of the word's lattice, grouped
+by word, and a higher-order ``aggregate`` folds each lattice into a path. The paths are then put together to each
+document's list of ids, and every list is decoded to prove the round trip.
 
-Words that make up more than a four-millionth of all are at most four million by that (in natural text some
-hundred thousand), so their paths are broadcast; the others are joined by a shuffle. Words over LONG characters take a plain heap in Python (BPE) instead.
+The fold depends on the model. For unigram models it is Viterbi: the path with the best total score. A BPE model
+encodes to another path: pieces merge best score first. Its fold takes the edges once, in the order in which their
+merges happen: an edge is taken if both its ends are still bounds, and removes the bounds inside. That order is a
+property of the pieces, found once per model: while the ends of a piece are bounds nothing outside touches it, so what
+happens inside is what happens to the piece alone. A piece that alone does not become one symbol never merges; one
+that needs a worse piece first merges right after it.
 
-Decoding looks ids up among the pieces, and is applied to every document's list to prove the round trip.
+The most frequent words, by bounded summaries of all partitions, are encoded first and sent to every task, which
+needs no shuffle of their places; the others' places are shuffled by word and back by row. Which words are taken for
+frequent fixes costs only. Words over LONG characters, for which no 64-bit mask has room, are encoded in plain Python.
+
+Decoding looks ids up among the pieces, and is applied to every document's list.
 
 Defined results: null and empty texts have no words and no tokens, and round-trip; characters that are not
-pieces become their UTF-8 bytes; rows that repeat each other are encoded one by one; other columns are dropped.
+pieces become their UTF-8 bytes; rows that repeat each other are encoded one by one; an empty table gives no rows;
+other columns are dropped.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,14 +38,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from vecmill.llm.common import documents, let, stored, upto
+from vecmill.llm.common import Tables, documents, let, upto
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Word length up to which the boundaries of a word fit a 64-bit mask.
 LONG = 60
-FREQUENT = 4_000_000
-TASK_WORDS = 20_000
+#: Words kept of the summaries, of each task's and of all. They are LONG characters at most, so all of them and their
+#: ids take some megabytes, and 40 MB at the very most.
+FREQUENT_LOCAL = 1 << 15
+FREQUENT = 1 << 16
+#: Distinct words of a task, so few that their lattices are grouped in memory.
+TASK_WORDS = 100_000
 #: Rows of a batch that are put together at a time.
 TASK_ROWS = 512
 
@@ -52,9 +65,49 @@ class Vocabulary:
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.pieces), default=1)
 
+    @cached_property
+    def ranks(self) -> dict[str, int]:
+        """Each piece's place by score, best first, from 0; pieces of equal score share one."""
+        place = {score: r for r, score in enumerate(sorted({x for _, _, x in self.pieces}, reverse=True))}
+        return {p: place[score] for p, _, score in self.pieces}
+
+    @cached_property
+    def moments(self) -> dict[str, tuple[int, int, int]]:
+        """When a longer piece of a BPE model merges: (rank, offset, step). That is its own rank, unless one of its halves
+        merges with it or later: then a step after that half, whose rank and place within the piece count. Of equal ranks
+        the leftmost comes first. Pieces that do not become one symbol by themselves are left out."""
+        ranks, found = self.ranks, {}
+        for piece in sorted(ranks, key=len):
+            if len(piece) < 2:
+                continue
+            # The halves that the merges within the piece leave, if it becomes one.
+            parts = list(piece)
+            while len(parts) > 2:
+                pairs = [(ranks[x], i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in ranks]
+                if not pairs:
+                    break
+                i = min(pairs)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if len(parts) > 2:
+                continue
+            at, halves = 0, []
+            for part in parts:
+                if len(part) > 1:
+                    rank, offset, step = found[part]
+                    halves.append((rank, offset + at, step + 1))
+                at += len(part)
+            found[piece] = max([*halves, (ranks[piece], 0, 0)])
+        return found
+
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score): as large as the vocabulary, so it can be broadcast."""
-        return spark.createDataFrame(self.pieces, "piece string, id int, score double")
+        """(piece, id, cost), or (piece, id, rank, offset, step): as large as the vocabulary, so it can be broadcast. For BPE models longer
+        pieces that never merge are left out, and single characters have rank -1."""
+        if not self.bpe:
+            return spark.createDataFrame([(p, i, -s) for p, i, s in self.pieces], "piece string, id int, cost double")
+        rows = [(p, i, *(self.moments[p] if len(p) > 1 else (-1, 0, 0))) for p, i, _ in self.pieces if len(p) == 1 or p in self.moments]
+        if any(step >= 1 << STEP_BITS for *_, step in rows):
+            raise ValueError("pieces that merge in so many steps are not supported")
+        return spark.createDataFrame(rows, "piece string, id int, rank int, offset int, step int")
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -73,7 +126,10 @@ def load(path: str = MODEL) -> Vocabulary:
         raise ValueError("pieces that span words are not supported")
     own = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
     unknown = next((i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN), 0)
-    return Vocabulary(pieces, [own[b] for b in range(256)] if len(own) == 256 else [], unknown, model.trainer_spec.model_type == pb.TrainerSpec.BPE)
+    bpe = model.trainer_spec.model_type == pb.TrainerSpec.BPE
+    if len(model.pieces) >= 1 << 18 or any(len(p) > LONG for p, _, _ in pieces):
+        raise ValueError("models of 2^18 pieces or more, or with pieces over LONG characters, are not supported")
+    return Vocabulary(pieces, [own[b] for b in range(256)] if len(own) == 256 else [], unknown, bpe)
 
 
 def normalized(text: Column) -> Column:
@@ -86,78 +142,138 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(normalized(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
+#: Bits of an edge of a BPE lattice, as one number: when it merges (rank, place, step), its bounds and its id.
+STEP_BITS, BOUND_BITS, ID_BITS = 4, 6, 20
+
+
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, n, edges): edges are (score, s, e, id) of the pieces that match word[s:e], best score first, then
-    leftmost. ``words`` (word) is not shuffled if it is partitioned by word."""
+    """(word, n, edges) of ``words`` (word), of LONG characters at most: the pieces that match word[s:e], sorted. For
+    unigram models an edge is (e, s, cost, id), for BPE models a number that rises in the order of the merges.
+    ``words`` is not shuffled if it is partitioned by word."""
     n = F.length("word")
     table = F.broadcast(vocabulary.table(words.sparkSession))
     starts = words.withColumn("n", n).withColumn("s", F.explode(F.sequence(F.lit(0), n - 1)))
     most = F.least(F.lit(vocabulary.longest), F.col("n") - F.col("s"))
     parts = starts.withColumn("l", F.explode(F.sequence(F.lit(1), most)))
-    parts = parts.withColumn("part", F.substring(F.col("word"), F.col("s") + 1, F.col("l")))
-    met = parts.join(table, F.col("part") == F.col("piece"), "left").where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("l") == 1)))
-    edge = F.struct((-F.col("score")).alias("cost"), F.col("s").alias("s"), (F.col("s") + F.col("l")).alias("e"), "id")
-    return met.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+    met = parts.join(table, F.substring(F.col("word"), F.col("s") + 1, F.col("l")) == F.col("piece"), "left")
+    # Words in which no piece is found have no edges, but stay.
+    met = met.where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("l") == 1)))
+    s, e, id_ = F.col("s"), F.col("s") + F.col("l"), F.col("id")
+    if vocabulary.bpe:
+        edge = packed((F.col("rank") + 1, 18), (s + F.col("offset"), BOUND_BITS), (F.col("step"), STEP_BITS), (s, BOUND_BITS), (e, BOUND_BITS), (id_, ID_BITS))
+    else:
+        edge = F.struct(e.alias("e"), s.alias("s"), "cost", "id")
+    found = met.select("word", F.when(id_.isNotNull(), edge).alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    return found.select("word", n.alias("n"), "edges")
+
+
+def packed(*fields: tuple[Column, int]) -> Column:
+    """One long that holds the numbers, each of so many bits, the first one highest."""
+    out = F.lit(0).cast("long")
+    for value, bits in fields:
+        out = F.shiftleft(out, bits).bitwiseOR(value.cast("long"))
+    return out
+
+
+def field(edge: Column, low: int, bits: int) -> Column:
+    return F.shiftright(edge, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+
+
+def span(edge: Column) -> tuple[Column, Column]:
+    return field(edge, ID_BITS + BOUND_BITS, BOUND_BITS), field(edge, ID_BITS, BOUND_BITS)
 
 
 def bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
+def ends(edge: Column) -> tuple[Column, Column]:
+    """Masks of an edge's two bounds and of those inside."""
+    s, e = span(edge)
+    return bit(s) + bit(e), (bit(e) - 1).bitwiseAND(-bit(s + 1))
+
+
 def merged(n: Column, edges: Column) -> Column:
-    """BPE: the bounds of the symbols, as a mask, after all merges. A merge removes the one bound within a piece;
-    the best piece comes first, then the leftmost."""
-    multi = F.transform(
-        F.filter(edges, lambda x: x["e"] - x["s"] > 1),
-        lambda x: F.struct((bit(x["s"]) + bit(x["e"])).alias("ends"), ((bit(x["e"]) - 1).bitwiseAND(-bit(x["s"] + 1))).alias("inner")),
-    )
+    """BPE: the bounds of the symbols, as a mask, after all merges: an edge whose ends are bounds removes those inside.
+    Single characters, which come first, remove none."""
+
+    def step(mask: Column, edge: Column) -> Column:
+        outer, inner = ends(edge)
+        return F.when(mask.bitwiseAND(outer) == outer, mask.bitwiseAND(F.bitwise_not(inner))).otherwise(mask)
+
+    return F.aggregate(edges, bit(n + 1) - 1, step)
+
 
-    def fold(todo: Column) -> Column:
-        def step(mask: Column, _: Column) -> Column:
-            fit = F.filter(todo, lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
-            return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fit, 0)["inner"], F.lit(0).cast("long"))))
+def taken(edges: Column, mask: Column) -> Column:
+    """The edges between neighbouring bounds of the mask, as s * 2^ID_BITS + id, in order."""
 
-        return F.aggregate(F.when(F.size(todo) > 0, upto(n - 1)).otherwise(upto(F.lit(0))), bit(n + 1) - 1, step)
+    def kept(edge: Column) -> Column:
+        outer, inner = ends(edge)
+        return (mask.bitwiseAND(outer) == outer) & (mask.bitwiseAND(inner) == 0)
 
-    return let(multi, fold)
+    id_ = lambda x: x.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long"))
+    return F.sort_array(F.transform(F.filter(edges, kept), lambda x: F.shiftleft(span(x)[0].cast("long"), ID_BITS) + id_(x)))
 
 
 def bounds_of_mask(n: Column, mask: Column) -> Column:
-    return let(mask, lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1).cast("long")) == 1))
+    return F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1).cast("long")) == 1)
+
+
+def bytes_of(text: Column, vocabulary: Vocabulary) -> Column:
+    """The ids of a character that is no piece: its bytes', or the unknown id."""
+    if not vocabulary.bytes_:
+        return F.array(F.lit(vocabulary.unknown))
+    table = F.array(*[F.lit(i) for i in vocabulary.bytes_])
+    return let(F.hex(F.encode(text, "UTF-8")), lambda h: F.transform(upto((F.length(h) / 2).cast("int")), lambda k: F.get(table, F.conv(F.substring(h, 2 * k + 1, F.lit(2)), 16, 10).cast("int"))))
+
+
+def merged_ids(word: Column, n: Column, edges: Column, vocabulary: Vocabulary) -> Column:
+    """BPE: the ids of a word. Only a character that is no piece needs more than the edges taken."""
+    id_ = lambda x: x.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long")).cast("int")
+
+    def slow(found: Column, mask: Column) -> Column:
+        def one(s: Column) -> Column:
+            own = F.get(F.filter(found, lambda x: F.shiftright(x, ID_BITS) == s), 0)
+            return F.when(own.isNotNull(), F.array(id_(own))).otherwise(bytes_of(F.substring(word, s + 1, F.lit(1)), vocabulary))
+
+        starts = F.filter(bounds_of_mask(n, mask), lambda i: i < n)
+        return F.flatten(F.transform(starts, one))
+
+    def put(mask: Column) -> Column:
+        return let(taken(edges, mask), lambda found: F.when(F.size(found) == F.bit_count(mask) - 1, F.transform(found, id_)).otherwise(slow(found, mask)))
+
+    return let(merged(n, edges), put)
 
 
 def viterbi(n: Column, edges: Column, unknown_cost: float) -> Column:
-    """Unigram: the bounds of the cheapest path. A character that is no piece is an edge of its own."""
-    cell = "struct<cost:double,s:int>"
+    """Unigram: the edges (e, s, cost, id) of the cheapest path, in order. A character may be an edge of its own, without
+    id. Edges come by their end, so one pass knows the best way to each place; of equal ways that of the longest last edge."""
+    cell = "struct<cost:double,s:int,id:int>"
+    plain = F.transform(F.sequence(F.lit(1), n), lambda e: F.struct(e.alias("e"), (e - 1).alias("s"), F.lit(unknown_cost).alias("cost"), F.lit(None).cast("int").alias("id")))
 
-    def step(acc: Column, e: Column) -> Column:
-        into = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: F.struct((F.get(acc, x["s"])["cost"] + x["cost"]).alias("cost"), x["s"].alias("s")))
-        plain = F.array(F.struct((F.get(acc, e - 1)["cost"] + unknown_cost).alias("cost"), (e - 1).alias("s")))
-        return F.concat(acc, F.array(F.array_min(F.concat(into, plain)).cast(cell)))
+    def step(acc: Column, x: Column) -> Column:
+        way = F.struct((F.get(acc, x["s"])["cost"] + x["cost"]).alias("cost"), x["s"].alias("s"), x["id"].alias("id")).cast(cell)
+        grown = F.concat(acc, F.array(way))
+        better = F.concat(F.slice(acc, F.lit(1), x["e"]), F.array(way))
+        return F.when(F.size(acc) == x["e"], grown).when(way["cost"] < F.get(acc, x["e"])["cost"], better).otherwise(acc)
 
     def back(cells: Column) -> Column:
-        path = F.aggregate(upto(n), F.array(n), lambda acc, _: F.when(F.get(acc, 0) > 0, F.concat(F.array(F.get(cells, F.get(acc, 0))["s"]), acc)).otherwise(acc))
-        return path
+        state = F.struct(n.alias("at"), F.array().cast("array<struct<e:int,s:int,id:int>>").alias("path"))
 
-    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("s")).cast(cell))
-    return let(F.aggregate(F.sequence(F.lit(1), n), start, step), back)
+        def hop(acc: Column, _: Column) -> Column:
+            here = F.get(cells, acc["at"])
+            edge = F.struct(acc["at"].alias("e"), here["s"].alias("s"), here["id"].alias("id"))
+            return F.when(acc["at"] > 0, F.struct(here["s"].alias("at"), F.concat(F.array(edge), acc["path"]).alias("path"))).otherwise(acc)
 
+        return F.aggregate(upto(n), state, hop, lambda acc: acc["path"])
 
-def ids_between(word: Column, edges: Column, bounds: Column, vocabulary: Vocabulary) -> Column:
-    """The ids along a path: a piece's own, else the bytes of the character (or the unknown id)."""
-    table = F.array(*[F.lit(i) for i in vocabulary.bytes_])
-
-    def fallback(text: Column) -> Column:
-        if not vocabulary.bytes_:
-            return F.array(F.lit(vocabulary.unknown))
-        return let(F.hex(F.encode(text, "UTF-8")), lambda h: F.transform(upto((F.length(h) / 2).cast("int")), lambda k: F.get(table, F.conv(F.substring(h, 2 * k + 1, F.lit(2)), 16, 10).cast("int"))))
+    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("s"), F.lit(None).cast("int").alias("id")).cast(cell))
+    return let(F.aggregate(F.array_sort(F.concat(edges, plain)), start, step), back)
 
-    def one(b: Column, k: Column) -> Column:
-        s, e = F.get(b, k), F.get(b, k + 1)
-        own = F.get(F.filter(edges, lambda x: (x["s"] == s) & (x["e"] == e)), 0)["id"]
-        return let(own, lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(fallback(F.substring(word, s + 1, e - s))))
 
-    return let(bounds, lambda b: F.flatten(F.transform(upto(F.size(b) - 1), lambda k: one(b, k))))
+def path_ids(word: Column, path: Column, vocabulary: Vocabulary) -> Column:
+    """Unigram: the ids along a path."""
+    return F.flatten(F.transform(path, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(bytes_of(F.substring(word, x["s"] + 1, x["e"] - x["s"]), vocabulary))))
 
 
 def merge_long(word: str, ranks: dict[str, tuple[float, int]], bytes_: list[int], unknown: int) -> list[int]:
@@ -188,27 +304,54 @@ def merge_long(word: str, ranks: dict[str, tuple[float, int]], bytes_: list[int]
     return out
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, ids) of distinct words."""
-    short = words.where((F.length("word") <= LONG) | F.lit(not vocabulary.bpe)).select("word")
-    grid = lattice(short, vocabulary)
+def viterbi_long(word: str, costs: dict[str, tuple[float, int]], longest: int, unknown_cost: float, bytes_: list[int], unknown: int) -> list[int]:
+    """Unigram: the ids of the cheapest path of one word; time in step with its length."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for e in range(1, len(word) + 1):
+        ways = [(best[s][0] + (costs[p][0] if (p := word[s:e]) in costs else unknown_cost), s) for s in range(max(0, e - longest), e) if s == e - 1 or word[s:e] in costs]
+        best.append(min(ways))
+    out, e = [], len(word)
+    while e:
+        s = best[e][1]
+        p = word[s:e]
+        out.append([costs[p][1]] if p in costs else ([bytes_[b] for b in p.encode()] if bytes_ else [unknown]))
+        e = s
+    return [i for part in reversed(out) for i in part]
+
+
+def worst_cost(vocabulary: Vocabulary) -> float:
+    return max((-s for _, _, s in vocabulary.pieces), default=0.0) + 10.0
+
+
+def encode_short(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(word, ids) of distinct ``words`` (word) of LONG characters at most; not shuffled if partitioned by word."""
+    grid = lattice(words.select("word"), vocabulary)
     word, n, edges = F.col("word"), F.col("n"), F.col("edges")
     if vocabulary.bpe:
-        grid = grid.withColumn("bounds", bounds_of_mask(n, merged(n, edges)))
-    else:
-        worst = max((-s for _, _, s in vocabulary.pieces), default=0.0) + 10.0
-        grid = grid.withColumn("bounds", viterbi(n, edges, worst))
-    out = grid.select("word", ids_between(word, edges, F.col("bounds"), vocabulary).alias("ids"))
-    if not vocabulary.bpe:
-        return out
-    ranks = {p: (s, i) for p, i, s in vocabulary.pieces}
-    bytes_, unknown = vocabulary.bytes_, vocabulary.unknown
+        return grid.select("word", merged_ids(word, n, edges, vocabulary).alias("ids"))
+    return grid.select("word", path_ids(word, viterbi(n, edges, worst_cost(vocabulary)), vocabulary).alias("ids"))
+
+
+def long_encoder(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
+    """The ids of one word, in plain Python."""
+    bytes_, unknown, longest, worst = vocabulary.bytes_, vocabulary.unknown, vocabulary.longest, worst_cost(vocabulary)
+    if vocabulary.bpe:
+        ranks = {p: (x, i) for p, i, x in vocabulary.pieces}
+        return lambda w: merge_long(w, ranks, bytes_, unknown)
+    costs = {p: (-x, i) for p, i, x in vocabulary.pieces}
+    return lambda w: viterbi_long(w, costs, longest, worst, bytes_, unknown)
+
+
+def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(word, ids) of distinct ``words`` (word) of any length."""
+    one = long_encoder(vocabulary)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(ids=[merge_long(w, ranks, bytes_, unknown) for w in batch["word"]])
+            yield batch.assign(ids=[one(w) for w in batch["word"]])
 
-    return out.unionByName(words.where(F.length("word") > LONG).select("word").mapInPandas(task, "word string, ids array<int>"))
+    long_ = words.where(F.length("word") > LONG).select("word").mapInPandas(task, "word string, ids array<int>")
+    return encode_short(words.where(F.length("word") <= LONG), vocabulary).unionByName(long_)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, key: str, ids: str = "ids") -> DataFrame:
@@ -246,32 +389,58 @@ def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum(lengths))), flat.to_numpy(zero_copy_only=False) if pa.types.is_integer(flat.type) else flat
 
 
-def path_table(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, count, ids) of each distinct word of ``df`` (text)."""
-    counted = stored(df.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("count")))
-    # Partitioned by word from here on: lattices and paths need no further exchange.
-    # So few words a task that their lattices are sorted in memory.
-    tasks = counted.count() // TASK_WORDS + 1
-    coded = encode_words(counted.select("word").repartition(tasks, "word"), vocabulary)
-    return stored(coded.join(counted, "word").select("word", "count", "ids"))
+def frequent_words(df: DataFrame) -> DataFrame:
+    """(word): the most frequent words of ``df`` (text), from a bounded summary of every task."""
+
+    def top(words: pa.Table) -> pa.Table:
+        words = words.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+        return words.take(pc.select_k_unstable(words, FREQUENT_LOCAL, [("n", "descending")])) if len(words) > FREQUENT_LOCAL else words
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TASK_ROWS):
+                found = pc.value_counts(batch.column("words").slice(lo, TASK_ROWS).flatten())
+                found = pa.table({"word": found.field("values").cast(pa.string()), "n": found.field("counts")})
+                held = pa.concat_tables([held, found])
+                if len(held) > 8 * FREQUENT_LOCAL:
+                    held = top(held)
+        held = top(held)
+        held = held.filter(pc.and_(pc.greater(held["n"], 1), pc.less_equal(pc.utf8_length(held["word"]), LONG)))
+        yield from held.combine_chunks().to_batches()
+
+    found = df.select(words_of(F.col("text")).alias("words")).mapInArrow(task, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
 
 
 def numbered(df: DataFrame) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
 
-def frequent_ids(rows: DataFrame, few: pa.Table) -> DataFrame:
-    """(row, doc_id, mark, n_words, packed) of ``rows`` (row, doc_id, text): the ids of the words of ``few`` (word, ids),
-    and -1 - k for the k-th of a row's other words, deflated by bytes of equal weight. Each row is put together within its task."""
+def frequent_ids(rows: DataFrame, few: pa.Table, vocabulary: Vocabulary) -> DataFrame:
+    """(row, doc_id, mark, n_words, packed, rare) of ``rows`` (row, doc_id, text): the ids of the words of ``few`` (word,
+    ids) and of words over LONG characters, and -1 - k for the k-th of a row's other words, which ``rare`` lists; deflated
+    by bytes of equal weight. Each row is put together within its task."""
     words, ids = few.column("word").combine_chunks(), few.column("ids").combine_chunks()
     table = rows.sparkSession.sparkContext.broadcast((words, *listed(ids)))
+    encoder = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, begin, values = table.value
-        values = np.concatenate((values.astype(np.int32), np.zeros(1, dtype=np.int32)))
+        known, known_begin, known_values = table.value
+        one = None
         for batch in batches:
             all_at, flat = listed(batch.column("words"))
-            found = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False)
+            found = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False).copy()
+            begin, values = known_begin, known_values.astype(np.int32)
+            far = np.flatnonzero((found < 0) & (pc.utf8_length(flat).to_numpy(zero_copy_only=False) > LONG))
+            if len(far):
+                one = one or long_encoder(encoder.value)
+                coded = pc.dictionary_encode(flat.take(pa.array(far)))
+                own = [np.array(one(w), dtype=np.int32) for w in coded.dictionary.to_pylist()]
+                found[far] = len(known) + coded.indices.to_numpy()
+                begin = np.concatenate((begin, begin[-1] + np.cumsum([len(x) for x in own])))
+                values = np.concatenate((values, *own))
+            values = np.concatenate((values, np.zeros(1, dtype=np.int32)))
             for lo in range(0, batch.num_rows, TASK_ROWS):
                 part = batch.slice(lo, TASK_ROWS)
                 at = all_at[lo : lo + part.num_rows + 1]
@@ -284,12 +453,14 @@ def frequent_ids(rows: DataFrame, few: pa.Table) -> DataFrame:
                 before = np.concatenate(([0], np.cumsum(rare)))
                 out[place[:-1][rare]] = -1 - (before[:-1] - np.repeat(before[at[:-1]], np.diff(at)))[rare]
                 packed = [zlib.compress(out[i:j].view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for i, j in zip(place[at[:-1]], place[at[1:]], strict=True)]
-                columns = [part.column("row"), part.column("doc_id"), part.column("mark"), pa.array(np.diff(at), pa.int64()), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "n_words", "packed"])
+                others = flat.slice(all_at[lo], len(rare)).filter(pa.array(rare))
+                others = pa.ListArray.from_arrays(pa.array(before[at], pa.int32()), others.cast(pa.string()))
+                columns = [part.column("row"), part.column("doc_id"), part.column("mark"), pa.array(np.diff(at), pa.int64()), pa.array(packed, pa.binary()), others]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "n_words", "packed", "rare"])
 
     text = normalized(F.coalesce(F.col("text"), F.lit("")))
     asked = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("mark"), words_of(F.col("text")).alias("words"))
-    return asked.mapInArrow(task, "row long, doc_id long, mark binary, n_words long, packed binary")
+    return asked.mapInArrow(task, "row long, doc_id long, mark binary, n_words long, packed binary, rare array<string>")
 
 
 def filled(packed: bytes, rare: list[np.ndarray] | None) -> np.ndarray | None:
@@ -311,16 +482,17 @@ def filled(packed: bytes, rare: list[np.ndarray] | None) -> np.ndarray | None:
 def assembled(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(row, doc_id, mark, n_words, ids) per row of ``df`` (doc_id, text); ``mark`` is the MD5 of the normalized text.
 
-    Frequent words' ids never leave their row: a row is shuffled once, as its list of ids, to meet the ids of its rare
+    Frequent words' ids never leave their row: a row is shuffled once, as its list of ids, to meet the ids of its other
     words, which are shuffled by word and by row."""
-    paths = path_table(df, vocabulary)
-    total = paths.agg(F.sum("count")).first()[0] or 0
-    often = F.col("count") * FREQUENT > total
-    few, rows = paths.where(often), numbered(df)
-    near = frequent_ids(rows, few.select("word", "ids").toArrow())
-    every = rows.select("row", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    rare = every.join(F.broadcast(few.select("word")), "word", "left_anti").join(paths.where(~often).select("word", "ids"), "word")
-    rare = rare.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("rare"))
+    tables = Tables(df.sparkSession)
+    few = tables.stored(frequent_words(df))
+    few = encode_short(few.repartition(8, "word"), vocabulary).toArrow()
+    near = tables.stored(frequent_ids(numbered(df), few, vocabulary))
+    total = near.agg(F.sum(F.size("rare"))).first()[0] or 0
+    places = near.select("row", F.posexplode("rare").alias("pos", "word"))
+    # Partitioned by word from here on: lattices, paths and places meet without further exchanges.
+    paths = encode_short(places.select("word").repartition(total // TASK_WORDS + 1, "word").distinct(), vocabulary)
+    rare = places.join(paths, "word").groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("rare"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +502,7 @@ def assembled(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 columns = [*part.columns[:4], pa.array(lists, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:4], "ids"])
 
-    both = near.join(rare, "row", "left").select("row", "doc_id", "mark", "n_words", "packed", "rare")
+    both = near.drop("rare").join(rare, "row", "left").select("row", "doc_id", "mark", "n_words", "packed", "rare")
     return both.mapInArrow(task, "row long, doc_id long, mark binary, n_words long, ids array<int>")
 
 
