@@ -121,6 +121,67 @@ def test_long_words_merge_alike():
         assert pieces.merge_long(pieces.SPACE + w, ranks, v.bytes_, v.unknown) == library.encode(w)
 
 
+@needs_model
+def test_merges_in_order_are_those_of_the_heap():
+    """The one pass over the edges, in plain Python, on words of all kinds against a heap of mergeable pairs."""
+    v, rng = pieces.load(), random.Random(9)
+    ranks = {p: (s, i) for p, i, s in v.pieces}
+    sample = [p for p, _, _ in v.pieces if len(p) > 1]
+    words = ["".join(rng.choice(sample) for _ in range(rng.randrange(1, 6))) for _ in range(3000)]
+    words += ["".join(rng.choice("aeinrst▁") for _ in range(rng.randrange(1, 64))) for _ in range(3000)]
+    words += [pieces.SPACE * n for n in range(1, 64)]
+    for w in words:
+        edges = []
+        for s in range(len(w)):
+            for e in range(s + 2, min(len(w), s + v.longest) + 1):
+                if w[s:e] in v.moments:
+                    rank, offset, step = v.moments[w[s:e]]
+                    edges.append((rank, s + offset, step, s, e))
+        bounds = set(range(len(w) + 1))
+        for *_, s, e in sorted(edges):
+            if s in bounds and e in bounds:
+                bounds -= set(range(s + 1, e))
+        cuts = sorted(bounds)
+        ids = [i for a, b in zip(cuts, cuts[1:], strict=False) for i in ([ranks[w[a:b]][1]] if w[a:b] in ranks else [v.bytes_[c] for c in w[a:b].encode()])]
+        assert ids == pieces.merge_long(w, ranks, v.bytes_, v.unknown), w
+
+
+@needs_model
+def test_words_around_the_longest_lattice(spark):
+    v, rng = pieces.load(), random.Random(10)
+    ranks = {p: (s, i) for p, i, s in v.pieces}
+    words = {"".join(rng.choice("aeinrst▁é東") for _ in range(n)) for n in (58, 59, 60, 61, 62, 63, 64) for _ in range(8)}
+    got = pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), v).collect()
+    assert {r.word: r.ids for r in got} == {w: pieces.merge_long(w, ranks, v.bytes_, v.unknown) for w in words}
+
+
+@needs_model
+def test_unigram_query_over_a_whole_table(spark, sf_dir, tmp_path):
+    """The same pieces as a unigram model: Viterbi through the whole query, against the library's best scores."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    for k, p in enumerate(model.pieces):
+        p.score = -math.log(k + 1) - 1 if p.type == p.NORMAL else p.score
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    score = {i: p.score for i, p in enumerate(model.pieces)}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = pieces.op9_pieces(spark, sf_dir, str(path)).collect()
+    assert len(rows) == len(texts)
+    same = 0
+    for r in rows:
+        want = library.encode(texts[r.doc_id] or "")
+        assert r.round_trip and abs(sum(score[i] for i in r.ids) - sum(score[i] for i in want)) < 1e-3 * (1 + len(want))
+        same += r.ids == want
+    assert same >= 0.9 * len(rows)
+
+
 # The pipeline
 
 
