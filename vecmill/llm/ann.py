@@ -10,9 +10,13 @@ precision, and the tables' candidates are merged.
 The first round takes the similarity measured on CALIBRATION queries, which are compared with all rows. After each
 round every query is judged by its own k-th score so far: it goes on through the buckets that the estimate for this
 score still wants, and through all the remaining ones if it has fewer than k rows. So the first round's similarity
-only fixes costs.
-Buckets are dealt to shards by hash; a bucket with more than BUCKET_ROWS rows is split, so that many copies of
-one vector are spread. Each task compares one block of queries with one shard and returns a top list.
+only fixes costs. So do the number of functions, which follows from the number of rows, and that of tables, which is
+the one that would visit least on a bounded sample of rows: the less structure the data has, the fewer.
+
+Buckets are dealt to shards in order, so that a shard holds buckets that lie together; a bucket with more than
+BUCKET_ROWS rows is split, so that many copies of one vector are spread. Queries are dealt to blocks by their likeliest
+bucket. Each task compares one block of queries with one shard and returns a top list; only pairs of a block and a
+shard that some query visits are sent anywhere.
 
 Defined results: vectors that are null, zero, of another length than most or hold null or non-finite parts
 take no part; a repeated id counts once, with its best score; a row is never its own neighbour; without
@@ -31,15 +35,21 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vecmill.llm.common import cut
 
-TABLES = 2
-FUNCTIONS = 6
+#: Numbers of tables to choose from.
+TABLES = (1, 2, 4)
+#: Functions of a hash: at least, at most, and rows for which a bucket more is worth its place in each query's order.
+FUNCTIONS = (2, 8)
+ROWS_PER_BUCKET = 12
 WIDTH = 1.0
 SLOTS = 4
-SUCCESS = 0.98
+SUCCESS = 0.96
 CALIBRATION = 48
-SHARD_ROWS = 16_384
+CALIBRATION_ROWS = 4_096
+SHARD_ROWS = 32_768
 BUCKET_ROWS = 4_096
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 8_192
+#: Queries whose buckets are put in order at a time, by the number of buckets.
+ORDER_CELLS = 1 << 20
 SEED = 3
 #: In place of a similarity: all buckets are visited.
 EVERYWHERE = -2.0
@@ -53,11 +63,24 @@ class Hashes:
     edges: np.ndarray
     norm: float
 
+    @property
+    def tables(self) -> int:
+        return self.directions.shape[0]
+
+    @property
+    def functions(self) -> int:
+        return self.directions.shape[1]
+
+    @property
+    def share(self) -> float:
+        """The success that each table must reach for all of them to reach SUCCESS together, per ``probes``."""
+        return 1 / self.tables
+
     @staticmethod
-    def draw(dims: int, norm: float, seed: int = SEED) -> "Hashes":
+    def draw(dims: int, norm: float, tables: int = 2, functions: int = 6, seed: int = SEED) -> "Hashes":
         rng = np.random.default_rng(seed)
-        directions = rng.normal(size=(TABLES, FUNCTIONS, dims + 1))
-        start = rng.uniform(-WIDTH / 2, WIDTH / 2, size=(TABLES, FUNCTIONS, 1))
+        directions = rng.normal(size=(tables, functions, dims + 1))
+        start = rng.uniform(-WIDTH / 2, WIDTH / 2, size=(tables, functions, 1))
         return Hashes(directions, start + WIDTH * (np.arange(SLOTS - 1) - (SLOTS - 2) / 2), norm)
 
     def projections(self, unit: np.ndarray) -> np.ndarray:
@@ -73,7 +96,7 @@ class Hashes:
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(tables, n) bucket numbers of data vectors."""
         slot = (self.projections(self.points(x))[..., None] >= self.edges[:, None]).sum(-1)
-        return (slot * SLOTS ** np.arange(FUNCTIONS)).sum(-1)
+        return (slot * SLOTS ** np.arange(self.functions)).sum(-1)
 
     def chances(self, x: np.ndarray, similarity: float | np.ndarray) -> np.ndarray:
         """(tables, n, buckets): the chance that a neighbour of each query lies in a bucket."""
@@ -84,7 +107,7 @@ class Hashes:
         cdf = np.concatenate([np.zeros((*t.shape, 1)), (1 + below) / 2, np.ones((*t.shape, 1))], axis=-1)
         p = np.diff(cdf, axis=-1)
         out = p[:, :, 0]
-        for k in range(1, FUNCTIONS):
+        for k in range(1, self.functions):
             out = (p[:, :, k][..., None] * out[..., None, :]).reshape(*out.shape[:2], -1)
         return out
 
@@ -94,7 +117,7 @@ class Hashes:
         chance = self.chances(x, similarity)
         order = np.argsort(-chance, axis=-1, kind="stable")
         total = np.take_along_axis(chance, order, -1).cumsum(-1)
-        visit = total - np.take_along_axis(chance, order, -1) < 1 - (1 - success) ** (1 / TABLES)
+        visit = total - np.take_along_axis(chance, order, -1) < 1 - (1 - success) ** self.share
         out = np.zeros(chance.shape, dtype=bool)
         np.put_along_axis(out, order, visit, -1)
         return out | (np.broadcast_to(similarity, len(x)) == EVERYWHERE)[:, None]
@@ -102,11 +125,11 @@ class Hashes:
     def left(self, x: np.ndarray, past: list[np.ndarray], now: np.ndarray, success: float = SUCCESS) -> np.ndarray:
         """Like ``probes``: what each query must still visit for ``now`` after its rounds of similarities ``past``. Nothing
         in a table whose visited buckets reach the success by themselves."""
-        visited = np.zeros((TABLES, len(x), SLOTS**FUNCTIONS), dtype=bool)
+        visited = np.zeros((self.tables, len(x), SLOTS**self.functions), dtype=bool)
         for i in range(max(map(len, past), default=0)):
             who = np.array([r for r, p in enumerate(past) if len(p) > i])
             visited[:, who] |= self.probes(x[who], np.array([past[r][i] for r in who]), success)
-        reached = (self.chances(x, now) * visited).sum(-1) >= 1 - (1 - success) ** (1 / TABLES)
+        reached = (self.chances(x, now) * visited).sum(-1) >= 1 - (1 - success) ** self.share
         reached &= now != EVERYWHERE
         return self.probes(x, now, success) & ~visited & ~reached[..., None]
 
@@ -138,11 +161,13 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.empty((0, 1))
 
 
-def calibrate(rows: DataFrame, queries: DataFrame, k: int, norm: float) -> float:
-    """The similarity that the k-th neighbours of a few queries exceed nine times out of ten, by exact search."""
+def calibrate(rows: DataFrame, queries: DataFrame, k: int, norm: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The median similarity of the k-th neighbours of a few queries, by exact search; these queries and theirs."""
     few = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).collect()
-    ids, q = np.array([r["vec_id"] for r in few]), np.array([r["v"] for r in few])
-    q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    if not few:
+        return 0.0, np.empty((0, 1)), np.empty(0)
+    ids, raw = np.array([r["vec_id"] for r in few]), np.array([r["v"] for r in few])
+    q = raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -153,9 +178,24 @@ def calibrate(rows: DataFrame, queries: DataFrame, k: int, norm: float) -> float
 
     top = Window.partitionBy("q").orderBy(F.desc("s"))
     found = rows.select("vec_id", "v").mapInPandas(task, "q int, s double").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k)
-    last = found.groupBy("q").agg(F.min("s").alias("s")).toPandas()["s"].to_numpy()
-    last = last[np.isfinite(last)] / norm
-    return float(np.clip(np.quantile(last, 0.1), 0.0, 0.99)) if len(last) else 0.0
+    last = found.groupBy("q").agg(F.min("s").alias("s")).orderBy("q").toPandas()["s"].to_numpy() / norm
+    last = np.where(np.isfinite(last), last, 0.0)
+    return float(np.clip(np.quantile(last, 0.5), 0.0, 0.99)), raw, last
+
+
+def drawn(rows: DataFrame, n: int, dims: int, norm: float, queries: np.ndarray, similarity: np.ndarray, success: float) -> Hashes:
+    """Hash functions for ``n`` rows: of the numbers of tables, that with which the calibration queries visit least."""
+    least, most = FUNCTIONS
+    functions = int(np.clip(round(math.log(max(n / ROWS_PER_BUCKET, 1), SLOTS)), least, most))
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(2)), "vec_id").limit(CALIBRATION_ROWS).select("v").collect()
+    points, best = np.array([r["v"] for r in sample]), None
+    for tables in TABLES:
+        hashes = Hashes.draw(dims, norm, tables, functions)
+        probes, buckets = hashes.probes(queries, similarity, success), hashes.buckets(points)
+        cost = sum(probes[t][:, buckets[t]].sum() for t in range(tables)) + probes.size / ROWS_PER_BUCKET
+        if best is None or cost < best[0]:
+            best = (cost, hashes)
+    return best[1]
 
 
 def search(df: DataFrame, is_query, k: int = 20, success: float = SUCCESS) -> DataFrame:
@@ -170,7 +210,11 @@ def search(df: DataFrame, is_query, k: int = 20, success: float = SUCCESS) -> Da
     rows = rows.where(F.size("v") == dims)
     norm = rows.agg(F.max("norm")).first()[0]
     queries = rows.where(is_query)
-    hashes, similarity = Hashes.draw(dims, norm), calibrate(rows, queries, k, norm)
+    similarity, few, own = calibrate(rows, queries, k, norm)
+    if not len(few):
+        return spark.createDataFrame([], schema)
+    hashes = drawn(rows, rows.count(), dims, norm, few, own, success)
+    step = max(1, ORDER_CELLS // (hashes.tables * SLOTS**hashes.functions))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,20 +223,33 @@ def search(df: DataFrame, is_query, k: int = 20, success: float = SUCCESS) -> Da
 
     index = rows.select("vec_id", "v").mapInPandas(hashed, "vec_id long, v array<double>, table int, bucket int")
     index = cut(index)
-    # One count per bucket: TABLES * SLOTS ** FUNCTIONS at most, whatever the input.
+    # One count per bucket: some 65,000 a table at most, whatever the input.
     counts = {(r["table"], r["bucket"]): r["count"] for r in index.groupBy("table", "bucket").count().collect()}
-    shards = max(1, -(-sum(counts.values()) // (TABLES * SHARD_ROWS)))
-    parts = [(t, b, p) for (t, b), n in sorted(counts.items()) for p in range(-(-n // BUCKET_ROWS))]
-    place = spark.createDataFrame([(t, b, p, i % shards, -(-counts[t, b] // BUCKET_ROWS)) for i, (t, b, p) in enumerate(parts)], "table int, bucket int, part int, shard int, parts int")
+    place, filled = [], dict.fromkeys(range(hashes.tables), 0)
+    for (t, b), n in sorted(counts.items()):
+        parts = -(-n // BUCKET_ROWS)
+        for part in range(parts):
+            place.append((t, b, part, filled[t] // SHARD_ROWS, parts))
+            filled[t] += -(-n // parts)
+    of: dict[tuple[int, int], list[int]] = {}
+    for t, b, _, shard, _ in place:
+        if b not in of.setdefault((t, shard), [])[-1:]:
+            of[t, shard].append(b)
+    place = spark.createDataFrame(place, "table int, bucket int, part int, shard int, parts int")
     split = index.join(F.broadcast(place.select("table", "bucket", "parts").distinct()), ["table", "bucket"])
     split = split.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
     data = split.join(F.broadcast(place.drop("parts")), ["table", "bucket", "part"])
-    of = {(t, s): sorted({b for i, (u, b, _) in enumerate(parts) if u == t and i % shards == s}) for t in range(TABLES) for s in range(shards)}
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                part = batch.iloc[lo : lo + step]
+                yield part.assign(home=hashes.chances(matrix(part["v"]), similarity)[0].argmax(-1).astype(np.int32))
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
+            for lo in range(0, len(batch), step):
+                part = batch.iloc[lo : lo + step]
                 probes = hashes.left(matrix(part["v"]), list(part["past"]), part["now"].to_numpy(), success)
                 for (t, s), own in of.items():
                     visit = [np.array(own)[row].tolist() for row in probes[t][:, own]]
@@ -201,12 +258,12 @@ def search(df: DataFrame, is_query, k: int = 20, success: float = SUCCESS) -> Da
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The queries that are not done, with the similarity of their next round."""
-        occupied = np.zeros((TABLES, 1, SLOTS**FUNCTIONS), dtype=bool)
+        occupied = np.zeros((hashes.tables, 1, SLOTS**hashes.functions), dtype=bool)
         for t, b in counts:
             occupied[t, 0, b] = True
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
+            for lo in range(0, len(batch), step):
+                part = batch.iloc[lo : lo + step]
                 x, past = matrix(part["v"]), [np.append(p, n) for p, n in zip(part["past"], part["now"], strict=True)]
                 now = np.clip(part["kth"].to_numpy(dtype=float) / (np.linalg.norm(x, axis=1) * norm), -0.99, 0.99)
                 now = np.where(part["found"].to_numpy() < k, EVERYWHERE, now)
@@ -243,18 +300,29 @@ def search(df: DataFrame, is_query, k: int = 20, success: float = SUCCESS) -> Da
 
     def asking(queries: DataFrame) -> DataFrame:
         """(query_id, vec_id, score): the best of the buckets that ``queries`` (of ``state``) visit now."""
-        blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-        asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-        asked = asked.repartition(max(1, blocks * 2)) if blocks > 1 else asked
-        asked = asked.mapInPandas(probed, "table int, shard int, block int, vec_id long, v array<double>, visit array<int>")
-        held = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, "bucket", "vec_id", "v")
+        near = cut(queries.mapInPandas(homes, f"{state}, home int"))
+        # One count per bucket again: a block holds the queries of buckets that lie together, a large bucket's several.
+        block, begun, dealt = 0, 0, []
+        for home, n in sorted((r["home"], r["count"]) for r in near.groupBy("home").count().collect()):
+            if begun and begun + n > QUERY_BLOCK:
+                block, begun = block + 1, 0
+            parts = max(1, -(-n // QUERY_BLOCK))
+            dealt.append((home, block, parts))
+            block, begun = (block + parts, 0) if parts > 1 else (block, begun + n)
+        dealt = F.broadcast(spark.createDataFrame(dealt or [(-1, 0, 1)], "home int, first int, parts int"))
+        asked = near.join(dealt, "home").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int"))
+        asked = cut(asked.select("vec_id", "v", "past", "now", "block").mapInPandas(probed, "table int, shard int, block int, vec_id long, v array<double>, visit array<int>"))
+        # Names of its own: the pairs come from the same rows as the other side of the cogroup.
+        met = asked.select(F.col("table").alias("t"), F.col("shard").alias("s"), F.col("block").alias("b")).distinct()
+        held = data.join(met, (F.col("table") == F.col("t")) & (F.col("shard") == F.col("s"))).select("table", "shard", F.col("b").cast("int").alias("block"), "bucket", "vec_id", "v")
         return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
 
     def ranked(found: DataFrame) -> DataFrame:
         merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return cut(merged.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k))
 
-    pending = queries.select("vec_id", "v", F.array().cast("array<double>").alias("past"), F.lit(similarity).alias("now"))
+    # A bounded number of rows stays in few partitions, so that tasks have enough to do.
+    pending = queries.repartition(max(1, min(spark.sparkContext.defaultParallelism * 4, queries.count() // 256 + 1))).select("vec_id", "v", F.array().cast("array<double>").alias("past"), F.lit(similarity).alias("now"))
     names = ["query_id", "vec_id", "score"]
     found = ranked(asking(pending))
     # Each round visits buckets that its queries have not seen, so the rounds end.
