@@ -509,6 +509,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write(df.limit(0), str(tmp_path / "e")) == 0 and warc.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_reader_takes_records_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    info = warc.record("warcinfo", {"WARC-Record-ID": "<urn:x:1>"}, b"software: none")
+    page = warc.record("response", {"WARC-Record-ID": "<urn:uuid:abc>", "WARC-Target-URI": "http://a/"}, http)
+    (tmp_path / "a.warc.gz").write_bytes(info + page)
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert [(r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, bytes(r.payload)) for r in rows] == [(None, "http://a/", 5, hashlib.sha1(b"hello").hexdigest(), "response", b"hello")]
+    lone = zlib.compressobj(6, zlib.DEFLATED, 31)
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(lone.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx\r\n\r\n") + lone.flush()))
+
+
 def test_warc_reader_rejects_damage():
     good = warc.page_record("1", "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
     assert len(list(warc.read_records(good + good))) == 2

@@ -242,6 +242,23 @@ def test_ann_of_small_tables_finds_all_rows(spark):
         assert sorted((r.query_id, r.vec_id) for r in got) == [(a, b) for a in range(10) for b in range(10) if a != b]
 
 
+def test_probes_prune_where_vectors_have_structure():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(100, 64))
+    x = centres[rng.integers(0, 100, 6000)] + 0.1 * rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = np.arange(0, 6000, 60)
+    scores = x[q] @ x.T
+    scores[np.arange(len(q)), q] = -np.inf
+    true = np.argsort(-scores, axis=1)[:, :20]
+    for tables in ann.TABLES:
+        hashes = ann.Hashes.draw(64, 1.0, tables, 4)
+        probes, buckets = hashes.probes(x[q], np.take_along_axis(scores, true[:, -1:], 1)[:, 0]), hashes.buckets(x)
+        visited = np.stack([probes[t][:, buckets[t]] for t in range(tables)])
+        assert visited.sum() < 0.2 * scores.size
+        assert np.take_along_axis(visited.any(0), true, 1).mean() >= 0.9
+
+
 def test_ann_of_scattered_queries_among_clusters(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 32))

@@ -12,7 +12,9 @@ are, as the table of digests that occur twice is broadcast below a checked numbe
 Defined results: a null page has an empty payload; small or unequal payloads are all responses; rows that
 repeat the largest page_id of their payload are all responses; a null page_id is written as an empty id, is
 read back as null and is never revisited unless it is the only kind; an empty table writes no file and gives no rows;
-other columns are dropped. The reader takes records of other writers too: what they do not state is taken from the block.
+other columns are dropped. The reader takes records of other
+writers too: lengths and digests that they do not state are taken from the block, ids that are no numbers are null, and
+records of other types are passed over.
 """
 
 from __future__ import annotations
@@ -167,7 +169,7 @@ def _id(value) -> str | None:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to and the
+    """One row per response or revisit record: page_id, url, payload_bytes, payload_digest, record_type, refers_to and the
     payload (null for a revisit)."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,8 +178,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 rows, size = [], 0
                 for headers, block in read_records(content):
                     ids = [headers[k].strip("<>").removeprefix(ID) or None if k in headers else None for k in ("warc-record-id", "warc-refers-to")]
-                    payload = block.partition(b"\r\n\r\n")[2] if headers["warc-type"] == "response" else None
-                    rows.append((ids[0], headers.get("warc-target-uri"), int(headers["x-payload-length"]), headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"], ids[1], payload))
+                    kind = headers.get("warc-type")
+                    if kind not in ("response", "revisit"):
+                        continue
+                    payload = block.partition(b"\r\n\r\n")[2]
+                    length, digest = int(headers.get("x-payload-length", len(payload))), headers.get("warc-payload-digest", "").removeprefix("sha1:")
+                    digest = digest or hashlib.sha1(payload).hexdigest()
+                    rows.append((ids[0], headers.get("warc-target-uri"), length, digest, kind, ids[1], payload if kind == "response" else None))
                     size += len(block)
                     if size > 8 << 20:
                         yield pd.DataFrame(rows, columns=names)
@@ -187,7 +194,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
-    return files.mapInPandas(task, schema).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
+    return files.mapInPandas(task, schema).withColumns({c: F.col(c).try_cast("long") for c in ("page_id", "refers_to")})
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
