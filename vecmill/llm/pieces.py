@@ -12,8 +12,10 @@ property of the pieces, found once per model: while the ends of a piece are boun
 happens inside is what happens to the piece alone. A piece that alone does not become one symbol never merges; one
 that needs a worse piece first merges right after it.
 
-The most frequent words, by bounded summaries of all partitions, are encoded first and sent to every task, which
-needs no shuffle of their places; the others' places are shuffled by word and back by row. Which words are taken for
+So are the most frequent words, by bounded summaries of all tasks: some nine tenths of all places. Their ids are sent to
+every task. The other words stand in so few places that moving them costs more than encoding them where they are: each
+task makes the lattices of its own in NumPy, by the same steps (substrings, a hash join with the pieces, edges
+sorted by word, the same fold over all words at once). Documents and ids are not shuffled. Which words are taken for
 frequent fixes costs only. Words over LONG characters, for which no 64-bit mask has room, are encoded in plain Python.
 
 Decoding looks ids up among the pieces, and is applied to every document's list.
@@ -26,10 +28,9 @@ other columns are dropped.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,20 +39,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from vecmill.llm.common import Tables, documents, let, upto
+from vecmill.llm.common import documents, let, upto
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Of the hashes of texts: an odd base, and a number for each byte.
+BASE = 0x9F8B6C4D2E1A5073
+BYTES = np.random.default_rng(23).integers(0, 1 << 64, 256, dtype=np.uint64)
 #: Word length up to which the boundaries of a word fit a 64-bit mask.
 LONG = 60
 #: Words kept of the summaries, of each task's and of all. They are LONG characters at most, so all of them and their
 #: ids take some megabytes, and 40 MB at the very most.
 FREQUENT_LOCAL = 1 << 15
 FREQUENT = 1 << 16
-#: Distinct words of a task, so few that their lattices are grouped in memory.
-TASK_WORDS = 100_000
 #: Rows of a batch that are put together at a time.
 TASK_ROWS = 512
+BLANK = ord(" ")
 
 
 @dataclass(frozen=True)
@@ -61,7 +64,7 @@ class Vocabulary:
     unknown: int
     bpe: bool
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.pieces), default=1)
 
@@ -354,6 +357,157 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encode_short(words.where(F.length("word") <= LONG), vocabulary).unionByName(long_)
 
 
+@lru_cache(maxsize=2)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hashes' base and of its inverse modulo 2^64, of ``size`` exponents."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(size, base, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+class Spans:
+    """Hashes of any spans of a text of bytes, each in constant time."""
+
+    def __init__(self, raw: np.ndarray):
+        power, self.inverse = powers(1 << max(16, len(raw).bit_length()))
+        self.total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(BYTES[raw] * power[: len(raw)], out=self.total[1:])
+
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.total[end] - self.total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+
+class Coder:
+    """Encodes words in NumPy; blanks stand for themselves. Pieces are found by 64-bit hashes, all different: that no
+    other text is taken for a piece is proven by decoding every document."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v, self.one = vocabulary, long_encoder(vocabulary)
+        raw = [p.replace(SPACE, " ").encode() for p, _, _ in vocabulary.pieces]
+        ends = np.cumsum([0, *map(len, raw)])
+        hashes = Spans(np.frombuffer(b"".join(raw), dtype=np.uint8)).hashes(ends[:-1], ends[1:])
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces have one hash")
+        names = [vocabulary.pieces[i] for i in order]
+        self.ids = np.array([i for _, i, _ in names], dtype=np.int32)
+        self.seen = np.zeros(1 << 22, dtype=bool)
+        self.seen[(hashes >> np.uint64(42)).astype(np.int64)] = True
+        self.bytes = np.array(vocabulary.bytes_, dtype=np.int32)
+        if vocabulary.bpe:
+            moments = vocabulary.moments
+            when = [moments.get(p, (-1, 0, 0)) for p, _, _ in names]
+            self.rank, self.offset, self.step = (np.array([w[k] for w in when], dtype=np.int64) for k in range(3))
+        else:
+            self.cost = np.array([-x for _, _, x in names])
+
+    def pieces(self, h: np.ndarray) -> np.ndarray:
+        """The place of the piece with each hash, or -1."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        maybe = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+        out[maybe] = np.where(self.hashes[at] == h[maybe], at, -1)
+        return out
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin and end (n + 1 places), and the ids."""
+        if not len(words) or not len(self.hashes):
+            lists = [np.array(self.one(w), dtype=np.int32) for w in words.to_pylist()]
+            return np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64), np.concatenate([np.empty(0, np.int32), *lists])
+        words = pa.concat_arrays([words.cast(pa.string())])
+        begin = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        raw = np.frombuffer(words.buffers()[2], dtype=np.uint8)[begin[0] : begin[-1]]
+        begin = begin - begin[0]
+        spans = Spans(raw)
+        # Characters: their first bytes, and the end; the first of each word, and how many it has.
+        char = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        first = np.searchsorted(char, begin)
+        n = np.diff(first)
+        word = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(word)) - first[word]
+        short = n <= LONG
+        left = np.where(short[word], n[word] - at, 0)
+        mask = self.best_path(spans, char, first, n, word, at, left, short) if not self.v.bpe else self.merges(spans, char, n, word, at, left, short)
+        # A token begins at each bound but the last; a long word is one token for now.
+        token = np.flatnonzero(np.where(short[word], (mask[word] >> at.astype(np.uint64)) & np.uint64(1) == 1, at == 0))
+        b, e = char[token], char[np.append(token[1:], len(word))]
+        piece = self.pieces(spans.hashes(b, e))
+        own = short[word[token]] & (piece >= 0)
+        length = np.where(own, 1, (e - b) if len(self.bytes) else 1)
+        far = np.flatnonzero(~short[word[token]])
+        lists = [np.array(self.one(bytes(raw[b[i] : e[i]]).decode().replace(" ", SPACE)), dtype=np.int32) for i in far]
+        length[far] = [len(x) for x in lists]
+        place = np.concatenate(([0], np.cumsum(length)))
+        out = np.full(place[-1], self.v.unknown, dtype=np.int32)
+        out[place[:-1][own]] = self.ids[piece[own]]
+        if len(self.bytes):
+            other = np.flatnonzero(~own & short[word[token]])
+            inside = np.arange(length[other].sum()) - np.repeat(np.cumsum(length[other]) - length[other], length[other])
+            out[np.repeat(place[other], length[other]) + inside] = self.bytes[raw[np.repeat(b[other], length[other]) + inside]]
+        for i, own_ids in zip(far, lists, strict=True):
+            out[place[i] : place[i + 1]] = own_ids
+        return place[np.searchsorted(token, first)], out
+
+    def merges(self, spans: Spans, char: np.ndarray, n: np.ndarray, word: np.ndarray, at: np.ndarray, left: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """BPE: each word's bounds as a mask, by the fold that ``merged`` makes."""
+        found, k = [], np.flatnonzero(left > 1)
+        for size in range(2, self.v.longest + 1):
+            k = k[left[k] >= size]
+            piece = self.pieces(spans.hashes(char[k], char[k + size]))
+            ok = piece >= 0
+            ok[ok] = self.rank[piece[ok]] >= 0
+            p = piece[ok]
+            s = at[k[ok]]
+            when = (self.rank[p] << BOUND_BITS + STEP_BITS) | (s + self.offset[p] << STEP_BITS) | self.step[p]
+            found.append(np.stack([word[k[ok]], when, s, s + size]))
+        w, when, s, e = np.concatenate(found, axis=1) if found else np.empty((4, 0), dtype=np.int64)
+        order = np.lexsort((when, w))
+        w, s, e = w[order], s[order].astype(np.uint64), e[order].astype(np.uint64)
+        one = np.uint64(1)
+        outer, inner = (one << s) | (one << e), ((one << e) - one) & ~((one << s + one) - one)
+        mask = (one << np.where(short, n + 1, 0).astype(np.uint64)) - one
+        # The j-th edges of all words at a time.
+        begin = np.searchsorted(w, np.arange(len(n)))
+        number = np.diff(np.append(begin, len(w)))
+        active = np.argsort(-number, kind="stable")
+        for j in range(int(number.max(initial=0))):
+            active = active[: np.searchsorted(-number[active], -j)]
+            edge = begin[active] + j
+            now = mask[active]
+            mask[active] = np.where(now & outer[edge] == outer[edge], now & ~inner[edge], now)
+        return mask
+
+    def best_path(self, spans: Spans, char: np.ndarray, first: np.ndarray, n: np.ndarray, word: np.ndarray, at: np.ndarray, left: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """Unigram: each word's bounds as a mask, by the fold that ``viterbi`` makes."""
+        costs = []
+        for size in range(1, self.v.longest + 1):
+            cost = np.full(len(word) + 1, np.inf if size > 1 else worst_cost(self.v))
+            k = np.flatnonzero(left >= size)
+            piece = self.pieces(spans.hashes(char[k], char[k + size]))
+            cost[k[piece >= 0]] = self.cost[piece[piece >= 0]]
+            costs.append(cost)
+        top = int(n[short].max(initial=0))
+        best, back = np.full((len(n), top + 1), np.inf), np.ones((len(n), top + 1), dtype=np.int64)
+        best[:, 0] = 0
+        for e in range(1, top + 1):
+            who = np.flatnonzero(short & (n >= e))
+            for size in range(min(self.v.longest, e), 0, -1):
+                way = best[who, e - size] + costs[size - 1][first[who] + e - size]
+                better = way < best[who, e]
+                best[who[better], e], back[who[better], e] = way[better], size
+        mask, place = np.zeros(len(n), dtype=np.uint64), np.where(short, n, 0)
+        for _ in range(top + 1):
+            mask |= np.uint64(1) << place.astype(np.uint64)
+            place = np.maximum(0, place - np.where(place > 0, back[np.arange(len(n)), place], 0))
+        return mask
+
+
 def decode(df: DataFrame, vocabulary: Vocabulary, key: str, ids: str = "ids") -> DataFrame:
     """(key, text): the normalized text of each id list."""
     return decoded(df.select(key, F.col(ids).alias("ids")), vocabulary).select(key, "text")
@@ -389,6 +543,25 @@ def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum(lengths))), flat.to_numpy(zero_copy_only=False) if pa.types.is_integer(flat.type) else flat
 
 
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of some texts, end to end, blanks in place of their signs; where the words of each text begin (n + 1
+    places); and where its bytes do. Like ``words_of``."""
+    texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), SPACE, " ")
+    texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+    texts = pa.concat_arrays([texts])
+    text_at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[text_at[0] : text_at[-1]]
+    text_at = text_at - text_at[0]
+    blank, line = raw == BLANK, raw == 10
+    start = line.copy()
+    start[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+    start[text_at[:-1][np.diff(text_at) > 0]] = True
+    begin = np.flatnonzero(start)
+    offsets = np.append(begin, len(raw)).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes()))
+    return words, np.searchsorted(begin, text_at), text_at
+
+
 def frequent_words(df: DataFrame) -> DataFrame:
     """(word): the most frequent words of ``df`` (text), from a bounded summary of every task."""
 
@@ -400,115 +573,60 @@ def frequent_words(df: DataFrame) -> DataFrame:
         held = pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
         for batch in batches:
             for lo in range(0, batch.num_rows, TASK_ROWS):
-                found = pc.value_counts(batch.column("words").slice(lo, TASK_ROWS).flatten())
-                found = pa.table({"word": found.field("values").cast(pa.string()), "n": found.field("counts")})
-                held = pa.concat_tables([held, found])
+                found = pc.value_counts(cut_words(batch.column("text").slice(lo, TASK_ROWS))[0])
+                found = pa.table({"word": found.field("values"), "n": found.field("counts")})
+                found = found.filter(pc.less_equal(pc.utf8_length(found["word"]), LONG))
+                held = pa.concat_tables([held, found.set_column(0, "word", found["word"].cast(pa.string()))])
                 if len(held) > 8 * FREQUENT_LOCAL:
                     held = top(held)
         held = top(held)
-        held = held.filter(pc.and_(pc.greater(held["n"], 1), pc.less_equal(pc.utf8_length(held["word"]), LONG)))
-        yield from held.combine_chunks().to_batches()
+        held = held.filter(pc.greater(held["n"], 1))
+        signs = pc.replace_substring(held["word"], " ", SPACE)
+        yield from held.set_column(0, "word", signs).combine_chunks().to_batches()
 
-    found = df.select(words_of(F.col("text")).alias("words")).mapInArrow(task, "word string, n long")
+    found = df.select("text").mapInArrow(task, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-
-
-def frequent_ids(rows: DataFrame, few: pa.Table, vocabulary: Vocabulary) -> DataFrame:
-    """(row, doc_id, mark, n_words, packed, rare) of ``rows`` (row, doc_id, text): the ids of the words of ``few`` (word,
-    ids) and of words over LONG characters, and -1 - k for the k-th of a row's other words, which ``rare`` lists; deflated
-    by bytes of equal weight. Each row is put together within its task."""
-    words, ids = few.column("word").combine_chunks(), few.column("ids").combine_chunks()
-    table = rows.sparkSession.sparkContext.broadcast((words, *listed(ids)))
-    encoder = rows.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, known_begin, known_values = table.value
-        one = None
-        for batch in batches:
-            all_at, flat = listed(batch.column("words"))
-            found = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False).copy()
-            begin, values = known_begin, known_values.astype(np.int32)
-            far = np.flatnonzero((found < 0) & (pc.utf8_length(flat).to_numpy(zero_copy_only=False) > LONG))
-            if len(far):
-                one = one or long_encoder(encoder.value)
-                coded = pc.dictionary_encode(flat.take(pa.array(far)))
-                own = [np.array(one(w), dtype=np.int32) for w in coded.dictionary.to_pylist()]
-                found[far] = len(known) + coded.indices.to_numpy()
-                begin = np.concatenate((begin, begin[-1] + np.cumsum([len(x) for x in own])))
-                values = np.concatenate((values, *own))
-            values = np.concatenate((values, np.zeros(1, dtype=np.int32)))
-            for lo in range(0, batch.num_rows, TASK_ROWS):
-                part = batch.slice(lo, TASK_ROWS)
-                at = all_at[lo : lo + part.num_rows + 1]
-                own, at = found[at[0] : at[-1]], at - at[0]
-                rare = own < 0
-                length = np.where(rare, 1, begin[own + 1] - begin[own])
-                place = np.concatenate(([0], np.cumsum(length)))
-                source = np.repeat(np.where(rare, len(values) - 1, begin[own]) - place[:-1], length) + np.arange(place[-1])
-                out = values[source]
-                before = np.concatenate(([0], np.cumsum(rare)))
-                out[place[:-1][rare]] = -1 - (before[:-1] - np.repeat(before[at[:-1]], np.diff(at)))[rare]
-                packed = [zlib.compress(out[i:j].view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for i, j in zip(place[at[:-1]], place[at[1:]], strict=True)]
-                others = flat.slice(all_at[lo], len(rare)).filter(pa.array(rare))
-                others = pa.ListArray.from_arrays(pa.array(before[at], pa.int32()), others.cast(pa.string()))
-                columns = [part.column("row"), part.column("doc_id"), part.column("mark"), pa.array(np.diff(at), pa.int64()), pa.array(packed, pa.binary()), others]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "n_words", "packed", "rare"])
-
-    text = normalized(F.coalesce(F.col("text"), F.lit("")))
-    asked = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("mark"), words_of(F.col("text")).alias("words"))
-    return asked.mapInArrow(task, "row long, doc_id long, mark binary, n_words long, packed binary, rare array<string>")
-
-
-def filled(packed: bytes, rare: list[np.ndarray] | None) -> np.ndarray | None:
-    """The ids of a row, with those of its rare words; none if one of these is missing, so that the row cannot pass."""
-    ids = np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-    open_ = np.flatnonzero(ids < 0)
-    if len(open_) != len(rare or []):
-        return None
-    if not len(open_):
-        return ids
-    # The rare words stand in order: the k-th takes the k-th place.
-    parts, last = [], 0
-    for i, own in zip(open_, rare, strict=True):
-        parts += [ids[last:i], own]
-        last = i + 1
-    return np.concatenate([*parts, ids[last:]]).astype(np.int32)
-
-
 def assembled(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(row, doc_id, mark, n_words, ids) per row of ``df`` (doc_id, text); ``mark`` is the MD5 of the normalized text.
-
-    Frequent words' ids never leave their row: a row is shuffled once, as its list of ids, to meet the ids of its other
-    words, which are shuffled by word and by row."""
-    tables = Tables(df.sparkSession)
-    few = tables.stored(frequent_words(df))
-    few = encode_short(few.repartition(8, "word"), vocabulary).toArrow()
-    near = tables.stored(frequent_ids(numbered(df), few, vocabulary))
-    total = near.agg(F.sum(F.size("rare"))).first()[0] or 0
-    places = near.select("row", F.posexplode("rare").alias("pos", "word"))
-    # Partitioned by word from here on: lattices, paths and places meet without further exchanges.
-    paths = encode_short(places.select("word").repartition(total // TASK_WORDS + 1, "word").distinct(), vocabulary)
-    rare = places.join(paths, "word").groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("rare"))
+    """(doc_id, mark, n_words, ids) per row of ``df`` (doc_id, text); ``mark`` is the MD5 of the normalized text. Each row is
+    encoded within its task."""
+    few = encode_short(frequent_words(df).repartition(8, "word"), vocabulary).toArrow()
+    context = df.sparkSession.sparkContext
+    known_words = pc.replace_substring(few.column("word").combine_chunks(), SPACE, " ")
+    table = context.broadcast((known_words, *listed(few.column("ids").combine_chunks()), vocabulary))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_begin, known_ids, own = table.value
+        coder = Coder(own)
         for batch in batches:
             for lo in range(0, batch.num_rows, TASK_ROWS):
                 part = batch.slice(lo, TASK_ROWS)
-                lists = [filled(p, r) for p, r in zip(part.column("packed").to_pylist(), part.column("rare").to_pylist(), strict=True)]
-                columns = [*part.columns[:4], pa.array(lists, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:4], "ids"])
-
-    both = near.drop("rare").join(rare, "row", "left").select("row", "doc_id", "mark", "n_words", "packed", "rare")
-    return both.mapInArrow(task, "row long, doc_id long, mark binary, n_words long, ids array<int>")
+                words, at, _ = cut_words(part.column("text"))
+                coded = pc.dictionary_encode(words)
+                distinct, which = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False)
+                place = pc.fill_null(pc.index_in(distinct, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                other = np.flatnonzero(place < 0)
+                begin, ids = coder.encode(distinct.take(pa.array(other)))
+                first, last = np.empty(len(place), dtype=np.int64), np.empty(len(place), dtype=np.int64)
+                old = place >= 0
+                first[old], last[old] = known_begin[place[old]], known_begin[place[old] + 1]
+                first[other], last[other] = len(known_ids) + begin[:-1], len(known_ids) + begin[1:]
+                values = np.concatenate((known_ids.astype(np.int32), ids))
+                length = (last - first)[which]
+                ends = np.concatenate(([0], np.cumsum(length)))
+                out = values[np.repeat(first[which] - ends[:-1], length) + np.arange(ends[-1])]
+                lists = pa.ListArray.from_arrays(pa.array(ends[at], pa.int32()), pa.array(out, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(np.diff(at), pa.int64()), lists], names=["doc_id", "mark", "n_words", "ids"])
+
+    mark = F.unhex(F.md5(F.encode(normalized(F.coalesce(F.col("text"), F.lit(""))), "UTF-8")))
+    asked = df.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), "text")
+    return asked.mapInArrow(task, "doc_id long, mark binary, n_words long, ids array<int>")
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(row, doc_id, ids) per row of ``df`` (doc_id, text)."""
-    return assembled(df, vocabulary).select("row", "doc_id", "ids")
+    """(doc_id, ids) per row of ``df`` (doc_id, text)."""
+    return assembled(df, vocabulary).select("doc_id", "ids")
 
 
 def digest(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
