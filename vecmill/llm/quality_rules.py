@@ -139,7 +139,8 @@ def sampled(df: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` random texts: of SAMPLE_FILES random files if ``df`` is read from more, so that measuring costs does
     not read a large table twice."""
     files, spark = df.inputFiles(), df.sparkSession
-    if len(files) > SAMPLE_FILES and all(f.endswith(".parquet") for f in files):
+    # Names with escaped characters are no paths again.
+    if len(files) > SAMPLE_FILES and all(f.endswith(".parquet") and "%" not in f for f in files):
         chosen = random.Random(SEED).sample(sorted(files), SAMPLE_FILES)
         df = spark.read.schema(df.select("text").schema).parquet(*chosen)
     n = df.count()
