@@ -150,7 +150,7 @@ def sampled(df: DataFrame, rows: int) -> DataFrame:
 def measure(df: DataFrame, rule_set: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
     """Cost and selectivity of each rule on about ``sample_rows`` rows (a sample by design). A rule's cost is the least
     time of a few runs in turn, after one that compiles it, less that of a rule that looks at no text."""
-    sample = sampled(df, sample_rows).coalesce(1).persist()
+    sample = sampled(df, sample_rows).repartition(1).persist()
     try:
         n = max(sample.count(), 1)
         frames = {r.name: prepared(sample).where(r.fails) for r in rule_set}
