@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecmill.functions import bits as B, hadamard as H, probability as P, vectors as V
-from vecmill.operators import cross_polytope as X, exact, metrics, prefix_join as J, search as S
+from vecmill.operators import cross_polytope as X, estimators as E, exact, metrics, prefix_join as J, search as S
 from vecmill.operators.index import IndexMismatch, LshIndex
 from vecmill.operators.simhash import SimHash, SimHashBuilder
 from vecmill.plans import catalog
@@ -305,6 +305,34 @@ def test_probabilities(spark):
     assert row[0] == 1 and row[1] == 0 and abs(row[2] - 0.5) < 1e-6 and abs(row[3] - 0.975) < 1e-4 and abs(row[4] - 0.36853) < 1e-3 and row[5] == 1
 
 
+@pytest.mark.parametrize("s", [None, 10])
+def test_estimates_project_only_queries_at_large(spark, monkeypatch, s):
+    table, x = table_of(spark, n=250, d=12)
+    matrix, real, seen = E.projection(12, 32), E.project, []
+    monkeypatch.setattr(E, "project", lambda df, m: seen.append(df.count()) or real(df, m))
+    monkeypatch.setattr(E, "QUERY_BLOCK", 2, raising=False)
+    monkeypatch.setattr(E, "ROW_BLOCK", 40, raising=False)
+    monkeypatch.setattr(catalog, "PROJECTIONS", 32)
+    monkeypatch.setattr(catalog, "queries_of", lambda *a: (table, table.df.where("vec_id % 50 = 0")))
+    got = {(r.qid, r.vec_id): r.estimate for r in (catalog.ceo_multi if s else catalog.ceo_single)(spark, "").collect()}
+    monkeypatch.undo()
+    y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ matrix.T
+    scale = np.sqrt(2 * np.log(32))
+    for q in range(0, 250, 50):
+        order = np.argsort(-y[q])
+        want = y[:, order[0]] / scale if s is None else (y[:, order[:10]].sum(1) - y[:, order[-10:]].sum(1)) / (20 * scale)
+        assert np.allclose([got.pop((q, i)) for i in range(250)], want, atol=1e-6)
+    assert not got and seen == [5]
+
+
+def test_estimates_of_repeated_and_missing_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.6, 0.8]), (1, [0.0, 1.0]), (None, [0.8, 0.6])]
+    table = VectorTable.of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    matrix = np.array([[1.0, 0.0], [0.0, 2.0], [-1.0, 0.0]])
+    got = {r.vec_id: r.estimate for r in E.estimate(table.df, table.df.where("vec_id = 0"), matrix, 1).collect()}
+    assert got == {i: round(float(t) / (2 * np.sqrt(2 * np.log(3))), 6) for i, t in ((0, 2.0), (1, 1.2), (None, 1.6))}
+
+
 def test_ground_truth_in_long_form(spark):
     df = spark.createDataFrame([(0, [5, 7], [0.1, 0.2])], "qid long, neighbors array<long>, distances array<double>")
     assert [tuple(r) for r in ground_truth(df, k=1).collect()] == [(0, 1, 5, 0.1)]

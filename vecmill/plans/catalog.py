@@ -530,19 +530,24 @@ PROJECTED = f"pr AS (SELECT j, list(g ORDER BY d) AS dir FROM (SELECT j, d, {gau
 ENDS = "o AS (SELECT vec_id AS qid, j, row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 6) DESC, j) AS a, row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 6), j) AS b FROM x WHERE vec_id % 100 = 0)"
 
 
-def projected(spark, sf_dir):
+def projection_of(table):
+    return E.projection(table.num_dimensions(), PROJECTIONS)
+
+
+def estimated(spark, sf_dir, s=None):
     table, q = queries_of(spark, sf_dir, ANGULAR)
-    return E.project(table.df, E.projection(table.num_dimensions(), PROJECTIONS)), q
+    return E.estimate(table.df, q, projection_of(table), s)
 
 
 @query("projection_profile", f"WITH {BASE}, {PROJECTED} SELECT j::INT AS j, round(max(x), 6) AS top FROM x GROUP BY j")
 def projection_profile(spark, sf_dir):
-    return E.profile(projected(spark, sf_dir)[0])
+    table = unit(spark, sf_dir)
+    return E.profile(E.project(table.df, projection_of(table)))
 
 
 @query("ceo_single", f"WITH {BASE}, {PROJECTED}, {ENDS} SELECT qid, vec_id, round(x / sqrt(2 * ln({PROJECTIONS})), 6) + 0.0 AS estimate FROM x JOIN (SELECT * FROM o WHERE a = 1) USING (j)")
 def ceo_single(spark, sf_dir):
-    return E.estimate(*projected(spark, sf_dir), PROJECTIONS)
+    return estimated(spark, sf_dir)
 
 
 @query(
@@ -551,7 +556,7 @@ def ceo_single(spark, sf_dir):
 SELECT qid, vec_id, round(sum(s * x) / (sqrt(2 * ln({PROJECTIONS})) * 20), 6) + 0.0 AS estimate FROM x JOIN t USING (j) GROUP BY qid, vec_id""",
 )
 def ceo_multi(spark, sf_dir):
-    return E.estimate(*projected(spark, sf_dir), PROJECTIONS, 10)
+    return estimated(spark, sf_dir, 10)
 
 
 @query("ceo_summary", f"WITH {BASE}, {PROJECTED}, {ENDS}, y AS (SELECT qid, round(x / sqrt(2 * ln({PROJECTIONS})), 6) AS e FROM x JOIN (SELECT * FROM o WHERE a = 1) USING (j)) SELECT qid, max(e) AS top, round(avg(e), 5) + 0.0 AS mean, min(e) AS low FROM y GROUP BY qid")
