@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -564,3 +565,39 @@ def test_mixed_documents_meet_each_target(spark, monkeypatch, bucket_rows):
         longest = max(len(t.split()) for _, t, _, s, _ in rows if s == source)
         assert abs(sum(len(r.text.split()) for r in out if r.source == source) - target) <= longest / 2 + 1
     assert sorted(out) == sorted(mixing.mix_documents(spark, docs.repartition(3), "").collect())
+
+
+def test_mixed_documents_come_by_the_slots_of_the_method(spark):
+    """Each output shard gives out the documents that begin in the blocks of the slots that its draw gave the sources."""
+    rng = random.Random(8)
+    rows = [(i if i % 9 else None, " ".join([f"w{i % 50}"] * rng.choice([0, 1, 3, 200, 700])), "en", rng.choice(["a", "b", "b", None]), 1) for i in range(300)]
+    rows += [(7, "same text of six words here", lang, "b", 1) for lang in ("en", "de", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix_documents(spark, docs, "")
+    got = [Counter((r.doc_id, r.source, r.text) for r in part) for part in out.rdd.glom().collect()]
+    placed = mixing.sized(docs)
+    table = mixing.sources(placed)
+    texts = {(r.doc_id, r.source, r.tie): t for r, t in ((r, r.text) for r in docs.withColumn("tie", F.xxhash64("text")).collect())}
+    begins = defaultdict(list)
+    for r in mixing.offsets(placed, table).where("size > 0").collect():
+        begins[r.sid, r.start // mixing.BLOCK].append((r.start, r["size"], (r.doc_id, r.source, texts[r.doc_id, r.source, r.tie])))
+    block, number, order = mixing.BLOCK, [], []
+    for source, n, goal in zip(table["source"], table["size"], table["goal"], strict=True):
+        n, goal, per = int(n), int(goal), -(-int(n) // mixing.BLOCK)
+        key = int.from_bytes(hashlib.blake2b(f"{mixing.SEED}:{source}".encode(), digest_size=7).digest(), "big")
+        number.append(goal // n * per + -(-(goal % n) // block))
+        full = n // block
+        order.append([(e, int(mixing.permuted(np.array([i]), np.array([full]), np.array([key + e]))[0]) if i < full else i) for e in range(-(-goal // n)) for i in range(per)])
+    shards = list(mixing.draw(number, -(-sum(number) // 16)))
+    want = [Counter() for _ in shards]
+    for sid, (n, goal) in enumerate(zip(table["size"], table["goal"], strict=True)):
+        ends, words = np.cumsum([d[sid] for d in shards]), 0
+        for j, (_, b) in enumerate(order[sid]):
+            shard = min(int(np.searchsorted(ends, j, side="right")), len(shards) - 1)
+            for _, size, row in sorted(begins[sid, b], key=lambda x: x[0]):
+                if 2 * words + size <= 2 * goal:
+                    want[shard][row] += 1
+                words += size
+    assert got == want
+    same = Counter(r.lang for r in out.where("doc_id = 7 and text like 'same%'").collect())
+    assert max(same.values(), default=0) - min(same[x] for x in ("en", "de", "fr")) <= 1

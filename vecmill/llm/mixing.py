@@ -34,6 +34,7 @@ SHARD_SLOTS = 1 << 22
 MIN_SHARDS = 16
 BUCKET_ROWS = 256
 GROUP_BUCKETS = 1 << 12
+BUCKET_BLOCKS = 16
 CHUNK = 1 << 14
 TASK_SLOTS = 1 << 19
 MAX_SOURCES = 100_000
@@ -126,6 +127,12 @@ def offsets(rows: DataFrame, table: pd.DataFrame, *first) -> DataFrame:
         buckets *= 2
     # The hash of the row, not of the id: rows that share an id are spread too.
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)).cast("int"))
+    return summed(rows, *first, "doc_id", "tie", "size")
+
+
+def summed(rows: DataFrame, *order) -> DataFrame:
+    """Adds ``rank`` (within the bucket) and ``start`` (sizes before the row) to ``rows`` (sid, bucket, size), which come by bucket
+    and then by ``order`` within each source."""
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("sum"))
     sums = sums.withColumn("group", F.floor(F.col("bucket") / GROUP_BUCKETS))
     groups = sums.groupBy("sid", "group").agg(F.sum("sum").alias("sum"))
@@ -136,7 +143,7 @@ def offsets(rows: DataFrame, table: pd.DataFrame, *first) -> DataFrame:
     groups = groups.select("sid", "group", before(["sid"], "group").alias("first"))
     sums = sums.withColumn("base", before(["sid", "group"], "bucket")).join(groups, ["sid", "group"])
     sums = sums.select("sid", "bucket", (F.col("base") + F.col("first")).alias("base"))
-    w = Window.partitionBy("sid", "bucket").orderBy(*first, "doc_id", "tie", "size")
+    w = Window.partitionBy("sid", "bucket").orderBy(*order)
     placed = rows.withColumns(
         {
             "rank": F.row_number().over(w),
@@ -146,29 +153,40 @@ def offsets(rows: DataFrame, table: pd.DataFrame, *first) -> DataFrame:
     return placed.join(sums, ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside")
 
 
-def slots(spark: SparkSession, table: pd.DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def shares(table: pd.DataFrame, block: int) -> tuple[list[int], int]:
+    """How many slots each source's goal takes, and how many an output shard has."""
+    pairs = zip(table["size"].astype(int).tolist(), table["goal"].astype(int).tolist(), strict=True)
+    number = [0 if not n else (g // n) * -(-n // block) + -(-(g % n) // block) for n, g in pairs]
+    return number, min(SHARD_SLOTS, max(1, -(-sum(number) // MIN_SHARDS)))
+
+
+def slots(spark: SparkSession, table: pd.DataFrame, block: int = BLOCK, seed: int = SEED, whole: bool = False) -> DataFrame:
     """(sid, block, epoch, words): what each slot of the mix takes of which block.
 
-    Within an epoch the full blocks come in permuted order; a short last block ends it.
+    Within an epoch the full blocks come in permuted order; a short last block ends it. ``whole``: also (shard, at), the
+    output shard and the place in the epoch; and slots beyond the goal, to the end of its epoch, in the last shard.
     """
     sizes, goals = table["size"].astype(int).tolist(), table["goal"].astype(int).tolist()
     per_epoch = [-(-n // block) for n in sizes]
-    number = [0 if not n else (g // n) * e + -(-(g % n) // block) for n, g, e in zip(sizes, goals, per_epoch, strict=True)]
-    shard_slots = min(SHARD_SLOTS, max(1, -(-sum(number) // MIN_SHARDS)))
+    number, shard_slots = shares(table, block)
     chunks, begun = [], [0] * len(sizes)
     for shard, got in enumerate(draw(number, shard_slots, seed)):
         for sid in np.flatnonzero(got):
             chunks.append((shard, int(sid), begun[sid], begun[sid] + int(got[sid])))
             begun[sid] += int(got[sid])
+    schema = "sid int, block long, epoch long, words long" + ", shard int, at long" * whole
     if not chunks:
-        return spark.createDataFrame([], "sid int, block long, epoch long, words long")
+        return spark.createDataFrame([], schema)
+    if whole:
+        more = [(sid, n, -(-n // e) * e) for sid, (n, e) in enumerate(zip(number, per_epoch, strict=True)) if n]
+        chunks += [(chunks[-1][0], sid, n, end) for sid, n, end in more if n < end]
     keys = [int.from_bytes(hashlib.blake2b(f"{seed}:{s}".encode(), digest_size=7).digest(), "big") for s in table["source"]]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size, goal, full = np.array(sizes), np.array(goals), np.array(sizes) // block
         key, rounds = np.array(keys, dtype=np.int64), np.array(per_epoch)
         for batch in batches:
-            for sid, lo, end in batch[["sid", "lo", "end"]].itertuples(index=False):
+            for shard, sid, lo, end in batch[["shard", "sid", "lo", "end"]].itertuples(index=False):
                 j = np.arange(lo, end)
                 epoch, at = j // rounds[sid], j % rounds[sid]
                 inside = at < full[sid]
@@ -179,13 +197,14 @@ def slots(spark: SparkSession, table: pd.DataFrame, block: int = BLOCK, seed: in
                 words = np.minimum(block, size[sid] - index * block)
                 # Of the slots before it in the epoch all are full blocks.
                 words = np.minimum(words, goal[sid] - epoch * size[sid] - at * block)
-                yield pd.DataFrame({"sid": np.full(len(j), sid, dtype=np.int32), "block": index, "epoch": epoch, "words": words})
+                found = {"sid": np.full(len(j), sid, dtype=np.int32), "block": index, "epoch": epoch, "words": words}
+                yield pd.DataFrame(found | ({"shard": np.full(len(j), shard, dtype=np.int32), "at": at} if whole else {}))
 
     frame = spark.createDataFrame(chunks, "shard int, sid int, begin long, last long")
     frame = frame.withColumn("lo", F.explode(F.sequence("begin", F.col("last") - 1, F.lit(CHUNK))))
     frame = frame.select("shard", "sid", "lo", F.least(F.col("lo") + CHUNK, "last").alias("end"))
     tasks = sum(number) // TASK_SLOTS + 1
-    return frame.repartition(tasks, "shard", "sid", "lo").mapInPandas(task, "sid int, block long, epoch long, words long")
+    return frame.repartition(tasks, "shard", "sid", "lo").mapInPandas(task, schema)
 
 
 def taken(rows: DataFrame, table: pd.DataFrame, block: int = BLOCK) -> DataFrame:
@@ -222,27 +241,45 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
-def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mix, in whole documents. A source's documents come in pseudorandom order, again in each
-    epoch, and those whose middle lies before the source's goal are given out; so a source's words miss its goal by
-    half a document at most. Rows that share id, source, size and text share their number of copies. ``docs`` may have any
-    columns besides doc_id, text and source. Null and blank texts are never given out; an empty table stays empty."""
+def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, block: int = BLOCK) -> DataFrame:
+    """Pipeline stage: the mix, in whole documents. A slot gives out the documents that begin in its block. A source's slots come
+    in their order, and it gives out the documents whose middle lies before its goal, so its words miss the goal by half a
+    document at most. Each output shard is a partition, or as many neighbouring ones as it needs. Rows that share id,
+    source and text share their copies evenly. ``docs`` may have any columns besides doc_id, text and source. Null and
+    blank texts are never given out; an empty table stays empty."""
     rows = sized(docs)
     table = sources(rows)
     if not len(table):
         return docs
-    own = ["doc_id", "source", "tie", "size"]
-    placed = offsets(rows, table, F.xxhash64("tie", "doc_id", F.lit(SEED)))
+    # The struct is never null, so that ids and sources that are null meet.
+    key = lambda own: F.struct(F.col(f"{own}doc_id").alias("doc_id"), F.col(f"{own}source").alias("source"))
+    placed = offsets(rows, table).where("size > 0").select("sid", "start", "size", key("").alias("key"), F.col("tie").alias("t"))
+    begins = placed.withColumn("block", F.floor(F.col("start") / block))
+    met = begins.join(slots(spark, table, block, whole=True).hint("merge"), ["sid", "block"])
     goals = [(i, g // n if n else 0, g % n if n else 0) for i, (n, g) in enumerate(zip(table["size"].astype(int).tolist(), table["goal"].astype(int).tolist(), strict=True))]
-    goals = spark.createDataFrame(goals, "sid int, epochs long, rest long")
-    number = F.col("epochs") + (2 * F.col("start") + F.col("size") <= 2 * F.col("rest")).cast("long")
-    copies = placed.join(F.broadcast(goals), "sid").where("size > 0").withColumn("copies", number).where("copies > 0")
-    copies = copies.groupBy(*own).agg(F.sum("copies").alias("copies"))
+    met = met.join(F.broadcast(spark.createDataFrame(goals, "sid int, epochs long, rest long")), "sid")
+    met = cut(met.select("sid", "size", "key", "t", "epoch", "shard", "at", F.col("start").alias("first"), "epochs", "rest"))
+    # Blocks hold as many beginnings as words at most, so buckets are bounded.
+    last = summed(met.where("epoch >= epochs").withColumn("bucket", F.floor(F.col("at") / BUCKET_BLOCKS)), "at", "first")
+    given = met.where("epoch < epochs").select("key", "t", "shard").unionByName(last.where("2 * start + size <= 2 * rest").select("key", "t", "shard"))
+    shards = given.groupBy("key", "t", "shard").count().groupBy("key", "t").agg(F.sort_array(F.collect_list(F.struct("shard", "count"))).alias("shards"))
     # The row is one column, so that its names clash with none.
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("t"))
-    on = F.col("row.doc_id").eqNullSafe(copies["doc_id"]) & (keyed["t"] == copies["tie"]) & F.col("row.source").eqNullSafe(copies["source"])
-    keys = Window.partitionBy("row.doc_id", "t", "row.source")
-    w = keys.orderBy(F.xxhash64("row"))
-    alone = keyed.join(copies, on).select("row", "t", "copies").withColumns({"n": F.count("*").over(keys), "k": F.row_number().over(w)})
-    share = F.floor((F.col("copies") + F.col("n") - F.col("k")) / F.col("n")).cast("int")
-    return alone.withColumn("copy", F.explode(F.array_repeat(F.lit(0), share))).select("row.*")
+    keys = Window.partitionBy("key", "t")
+    alone = keyed.withColumn("key", key("row.")).join(shards, ["key", "t"])
+    alone = alone.withColumns({"n": F.count("*").over(keys), "k": F.row_number().over(keys.orderBy(F.xxhash64("row")))})
+    # Of all copies of equal rows the k-th of n rows has the k-th, and each n-th after it.
+    total = F.aggregate("shards", F.lit(0).cast("long"), lambda a, x: a + x["count"])
+    own = F.when(F.col("k") <= total, F.sequence(F.col("k").cast("long"), total, F.col("n")))
+    each = alone.select("row", "shards", F.explode(own).alias("c"))
+    state = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("int").alias("shard"))
+
+    def find(a: Column, x: Column) -> Column:
+        end = a["before"] + x["count"]
+        return F.struct(end.alias("before"), F.coalesce(a["shard"], F.when(F.col("c") <= end, x["shard"])).alias("shard"))
+
+    each = each.select("row", F.aggregate("shards", state, find, lambda a: a["shard"]).alias("shard"))
+    number, shard_slots = shares(table, block)
+    count, parts = max(1, -(-sum(number) // shard_slots)), -(-shard_slots // TASK_SLOTS)
+    part = F.pmod(F.xxhash64("row.doc_id", F.xxhash64("row.text")), F.lit(parts)).cast("int")
+    return each.repartitionById(count * parts, F.col("shard") * parts + part).select("row.*")
