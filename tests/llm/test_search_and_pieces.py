@@ -271,3 +271,17 @@ def test_ann_of_scattered_queries_among_clusters(spark):
     for q, true in brute(rows, range(0, 2000, 10), 20).items():
         recall.append(len({r.vec_id for r in got if r.query_id == q} & {i for i, _ in true}) / 20)
     assert len(got) == 200 * 20 and min(recall) >= 0.5 and np.mean(recall) >= 0.9
+
+
+def test_long_texts_are_taken_in_bounded_parts(spark, monkeypatch):
+    real, limit = pieces.cut_words, 1 << 18
+
+    def bounded(texts):
+        assert len(texts) == 1 or sum(len(t.encode()) for t in texts.to_pylist() if t) <= limit
+        return real(texts)
+
+    monkeypatch.setattr(pieces, "cut_words", bounded)
+    texts = ["some words of a long text " * 1000] * 40 + [None, "", "x" * (limit + 5), "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = pieces.digest(df, pieces.load()).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts))) and all(r.round_trip for r in rows)

@@ -52,8 +52,9 @@ LONG = 60
 #: ids take some megabytes, and 40 MB at the very most.
 FREQUENT_LOCAL = 1 << 15
 FREQUENT = 1 << 16
-#: Rows of a batch that are put together at a time.
+#: Rows and about bytes of text of a batch that are put together at a time.
 TASK_ROWS = 512
+TASK_BYTES = 1 << 18
 BLANK = ord(" ")
 
 
@@ -522,8 +523,7 @@ def decoded(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(table.value, pa.binary())
         for batch in batches:
-            for lo in range(0, batch.num_rows, TASK_ROWS):
-                part = batch.slice(lo, TASK_ROWS)
+            for part in parts_of(batch, "ids"):
                 at, flat = listed(part.column("ids"))
                 flat = np.where((flat >= 0) & (flat < len(known)), flat, len(known) - 1)
                 parts = known.take(pa.array(flat))
@@ -532,10 +532,22 @@ def decoded(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 raw, at = memoryview(raw), ends[at]
                 texts = [bytes(raw[i:j]).decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "text"])
+        release()
 
     return df.mapInArrow(task, StructType([*df.schema.fields, StructField("text", StringType())]))
 
 
+def release() -> None:
+    """Give free memory of this worker back to the machine: it waits for other tasks beside them, and would keep it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only in glibc
+        pass
+
+
 def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Where each list of a column begins and ends (n + 1 places), and the lists' values, from 0. Null lists are empty."""
     flat = column.flatten()
@@ -543,6 +555,18 @@ def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum(lengths))), flat.to_numpy(zero_copy_only=False) if pa.types.is_integer(flat.type) else flat
 
 
+def parts_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of TASK_ROWS rows and about TASK_BYTES of ``column``, texts or ids, at most, but of a row at least."""
+    values = batch.column(column)
+    sizes = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+    total, lo = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + TASK_BYTES, side="right"))
+        hi = min(max(hi, lo + 1), lo + TASK_ROWS, batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The words of some texts, end to end, blanks in place of their signs; where the words of each text begin (n + 1
     places); and where its bytes do. Like ``words_of``."""
@@ -572,8 +596,8 @@ def frequent_words(df: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
         for batch in batches:
-            for lo in range(0, batch.num_rows, TASK_ROWS):
-                found = pc.value_counts(cut_words(batch.column("text").slice(lo, TASK_ROWS))[0])
+            for part in parts_of(batch, "text"):
+                found = pc.value_counts(cut_words(part.column("text"))[0])
                 found = pa.table({"word": found.field("values"), "n": found.field("counts")})
                 found = found.filter(pc.less_equal(pc.utf8_length(found["word"]), LONG))
                 held = pa.concat_tables([held, found.set_column(0, "word", found["word"].cast(pa.string()))])
@@ -583,6 +607,7 @@ def frequent_words(df: DataFrame) -> DataFrame:
         held = held.filter(pc.greater(held["n"], 1))
         signs = pc.replace_substring(held["word"], " ", SPACE)
         yield from held.set_column(0, "word", signs).combine_chunks().to_batches()
+        release()
 
     found = df.select("text").mapInArrow(task, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
@@ -600,8 +625,7 @@ def assembled(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         known, known_begin, known_ids, own = table.value
         coder = Coder(own)
         for batch in batches:
-            for lo in range(0, batch.num_rows, TASK_ROWS):
-                part = batch.slice(lo, TASK_ROWS)
+            for part in parts_of(batch, "text"):
                 words, at, _ = cut_words(part.column("text"))
                 coded = pc.dictionary_encode(words)
                 distinct, which = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False)
@@ -618,6 +642,7 @@ def assembled(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 out = values[np.repeat(first[which] - ends[:-1], length) + np.arange(ends[-1])]
                 lists = pa.ListArray.from_arrays(pa.array(ends[at], pa.int32()), pa.array(out, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(np.diff(at), pa.int64()), lists], names=["doc_id", "mark", "n_words", "ids"])
+        release()
 
     mark = F.unhex(F.md5(F.encode(normalized(F.coalesce(F.col("text"), F.lit(""))), "UTF-8")))
     asked = df.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), "text")
