@@ -65,6 +65,19 @@ class Tables:
         return result
 
 
+def release() -> None:
+    """Give free memory of this worker back to the machine: it waits for other tasks beside them, and would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only in glibc
+        pass
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, evaluated once however often ``body`` names it within lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

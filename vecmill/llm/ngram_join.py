@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from vecmill.llm.common import Tables, documents
+from vecmill.llm.common import Tables, documents, release
 from vecmill.llm.components import components
 
 #: Tokens kept of the heavy-hitter summaries, of each partition's and of all: they fix an order, no result.
@@ -134,6 +134,7 @@ def heavy_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 top = np.sort(np.argpartition(-counts, HEAVY_LOCAL)[:HEAVY_LOCAL])
                 tokens, counts = tokens[top], counts[top]
         yield pd.DataFrame({"token": tokens.view(np.int64), "n": counts})
+        release()
 
     found = docs.select("text").mapInPandas(task, "token long, n long")
     top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).toPandas()
@@ -188,6 +189,7 @@ def signatures(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
                 # Never by way of floats, which hold no 64 bits.
                 exact = {c: pd.array(columns[c], dtype="Int64") for c in ("node", "check")}
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **columns, **exact})
+        release()
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     rows = rows.mapInPandas(task, "doc_id string, node long, check long, size long, rare long, end long, keys array<long>, prefix array<long>")
@@ -282,6 +284,7 @@ class Join:
                     found = [shingles(t, n) for t in batch["text"].iloc[lo : lo + CHUNK]]
                     found = [s for s in found if len(s)]
                     yield pd.DataFrame({"node": np.array([digest(s, seed)[0] for s in found], dtype=np.int64), "tokens": [s.view(np.int64) for s in found]})
+            release()
 
         found = texts.select("text").mapInPandas(task, "node long, tokens array<long>")
         # Rows that repeat an id and its text are one set; texts that only share the id are not wanted.

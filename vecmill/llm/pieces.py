@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from vecmill.llm.common import documents, let, upto
+from vecmill.llm.common import documents, let, release, upto
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -537,17 +537,6 @@ def decoded(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return df.mapInArrow(task, StructType([*df.schema.fields, StructField("text", StringType())]))
 
 
-def release() -> None:
-    """Give free memory of this worker back to the machine: it waits for other tasks beside them, and would keep it."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # only in glibc
-        pass
-
-
 def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Where each list of a column begins and ends (n + 1 places), and the lists' values, from 0. Null lists are empty."""
     flat = column.flatten()
